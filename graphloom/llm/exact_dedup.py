@@ -29,6 +29,7 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no preallocated files
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
