@@ -6,7 +6,7 @@ source table, so any number of sources works.
 
 Sampling: a source with target t and size s takes every document floor(t / s) times, and the rest of its target in
 the seeded order of md5(seed:doc_id): documents are taken once more up to the last that fits, then at most `fill`
-documents, each the largest that still fits, close the gap. Documents are always taken whole. Prefix sums are made
+documents, each the one that leaves the smallest gap, close it (only the last may pass the target). Documents are always taken whole. Prefix sums are made
 in two levels (16^digits hash ranges a source, then one range), so a source with a third of all rows is no task's burden.
 
 Defined results: null text has size 0; null is a source of its own, ordered last; null doc_ids are hashed as ''; rows
@@ -94,10 +94,11 @@ def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3
         F.coalesce("last.key", "part").alias("cut_key"), F.col("last.doc_id").alias("cut_id"),
         (F.col("rest") - F.coalesce("last.upto", "before")).alias("gap"), none.alias("extra"),
     )
-    for _ in range(fill):
+    for n in range(fill):
         cut = checkpoint(cut)
-        fits = _with_plan(units, cut).where("size > 0 AND size <= gap").where(~taken_again())
-        best = fits.groupBy("source").agg(F.max(F.struct("size", "key", "doc_id")).alias("best"))
+        limit = "size <= gap" if n < fill - 1 else "size < 2 * gap"  # only the last may pass the target
+        fits = _with_plan(units, cut).where(f"size > 0 AND {limit}").where(~taken_again())
+        best = fits.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "doc_id", "size")).alias("best"))
         best = best.select(F.col("source").alias("b_source"), "best")
         cut = cut.join(best, F.col("t_source").eqNullSafe(F.col("b_source")), "left").select(
             "t_source", "source_size", "target", "whole", "cut_key", "cut_id",
@@ -162,11 +163,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One step of the fill, over the units not yet taken; unrolled FILL times below.
 _STEP = """
 f{n} AS (
-  SELECT source, max(row(size, key, doc_id)) AS best FROM (
-    SELECT u.source, u.size, u.key, u.doc_id FROM rest{p} u JOIN gap{p} g ON u.source IS NOT DISTINCT FROM g.source
-    WHERE u.size > 0 AND u.size <= g.gap)
+  SELECT source, min(row(abs(gap - size), key, doc_id, size)) AS best FROM (
+    SELECT u.source, u.size, u.key, u.doc_id, g.gap FROM rest{p} u JOIN gap{p} g ON u.source IS NOT DISTINCT FROM g.source
+    WHERE u.size > 0 AND u.size {limit})
   GROUP BY source),
-b{n} AS (SELECT source, best[1] AS size, best[2] AS key, best[3] AS doc_id FROM f{n}),
+b{n} AS (SELECT source, best[2] AS key, best[3] AS doc_id, best[4] AS size FROM f{n}),
 gap{n} AS (SELECT g.source, g.gap - coalesce(b.size, 0) AS gap FROM gap{p} g LEFT JOIN b{n} b ON b.source IS NOT DISTINCT FROM g.source),
 rest{n} AS (SELECT u.* FROM rest{p} u LEFT JOIN b{n} b ON b.source IS NOT DISTINCT FROM u.source AND b.key = u.key
   AND b.doc_id IS NOT DISTINCT FROM u.doc_id WHERE b.key IS NULL)"""
@@ -181,7 +182,7 @@ w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDE
 r AS (SELECT *, sum(2 * size) OVER q - 2 * size AS caps, sum(weight) OVER () - sum(weight) OVER q + weight AS left_weight
       FROM w WINDOW q AS (ORDER BY 2 * size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT CAST(1.5 * (SELECT sum(size) FROM s) - caps AS DOUBLE) / left_weight AS level, 2 * size / weight AS ratio FROM r),
-v AS (SELECT min(level) AS level FROM l WHERE level <= ratio),
+v AS (SELECT max(level) AS level FROM l WHERE level <= ratio),
 t AS (SELECT source, size AS source_size, least(weight * level, 2 * CAST(size AS DOUBLE)) AS target FROM w, v),
 p AS MATERIALIZED (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 c AS MATERIALIZED (
@@ -190,7 +191,7 @@ c AS MATERIALIZED (
   FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source),
 gap0 AS (SELECT source, min(rest) - coalesce(max(upto) FILTER (WHERE upto <= rest), 0) AS gap FROM c GROUP BY source),
 rest0 AS (SELECT source, size, key, doc_id FROM c WHERE upto > rest),"""
-    + ",".join(_STEP.format(n=i + 1, p=i) for i in range(FILL))
+    + ",".join(_STEP.format(n=i + 1, p=i, limit="<= g.gap" if i < FILL - 1 else "< 2 * g.gap") for i in range(FILL))
     + f"""
 SELECT c.doc_id, c.size, c.source_size, c.target,
        CAST(c.size * (c.whole + CASE WHEN u.key IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken

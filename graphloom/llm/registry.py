@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup
+from graphloom.llm import exact_dedup, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_mixing": mixing.op5_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracles() -> dict[str, str]:
     return {
+        "op5_mixing": mixing.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
