@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, mixing
+from graphloom.llm import exact_dedup, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_mixing": mixing.op5_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
