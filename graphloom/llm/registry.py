@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, mixing, simhash
+from graphloom.llm import bpe, exact_dedup, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_mixing": mixing.op5_mixing,
+        "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_simhash": simhash.op10_simhash,
     }
