@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bpe, exact_dedup, mixing, quality, simhash
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_simhash": simhash.op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
