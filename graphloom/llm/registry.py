@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, exact_dedup, mixing, quality, simhash
+from graphloom.llm import bpe, exact_dedup, mixing, quality, secrets_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": secrets_scan.op1_secret_scan,
         "op2_quality": quality.op2_quality,
         "op5_mixing": mixing.op5_mixing,
         "op6_bpe": bpe.op6_bpe,
