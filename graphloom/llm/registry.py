@@ -7,13 +7,14 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, exact_dedup, mixing, quality, secrets_scan, simhash
+from graphloom.llm import bpe, exact_dedup, mixing, quality, secrets_scan, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets_scan.op1_secret_scan,
         "op2_quality": quality.op2_quality,
+        "op4_topk": topk.op4_topk,
         "op5_mixing": mixing.op5_mixing,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op4_topk": topk.ORACLE,
         "op5_mixing": mixing.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
