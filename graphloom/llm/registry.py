@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, exact_dedup, lm_scoring, mixing, quality, secrets_scan, simhash, topk
+from graphloom.llm import bpe, exact_dedup, html_extraction, lm_scoring, mixing, quality, secrets_scan, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_simhash": simhash.op10_simhash,
         "pipeline": corpus_pipeline.run,
