@@ -7,13 +7,25 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, exact_dedup, html_extraction, lm_scoring, mixing, quality, secrets_scan, simhash, topk
+from graphloom.llm import (
+    bpe,
+    exact_dedup,
+    html_extraction,
+    lm_scoring,
+    mixing,
+    quality,
+    secrets_scan,
+    simhash,
+    substring_dedup,
+    topk,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets_scan.op1_secret_scan,
         "op2_quality": quality.op2_quality,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_topk": topk.op4_topk,
         "op5_mixing": mixing.op5_mixing,
         "op6_bpe": bpe.op6_bpe,
