@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,12 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Staging:
     """A folder below the shared one for tables that one operator writes and reads before it returns.
 
