@@ -36,16 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as texts_of
-from graphloom.session import Staging, checkpoint
+from graphloom.session import Staging, checkpoint, release
 
 HELD_OUT = (7, 2)
-MIN_COUNT, DIVERGENCE = 24, 3.0
-CHUNK = 1_000_000  # tokens
+MIN_COUNT, DIVERGENCE = 64, 3.0
+CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
 END = "\n"  # no word holds white space
 
 CHUNK_SCHEMA = "chunk long, docs binary, lengths binary, held binary, tokens binary, vocab binary, n_train long"
 SENT = "chunk long, kind int, part long, keys binary, sums binary"
+STATE = -1  # the kind of a row that holds a chunk with its counts
 WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO, ONE, TWO = KINDS = range(7)
 COUNTS = (WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO)
 
@@ -127,6 +128,8 @@ class _State:
         self.held_doc = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.tokens = np.frombuffer(row["tokens"], np.int32)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
+        counted = row.get("counts")
+        self.counts = None if counted is None else np.frombuffer(counted, np.int32)  # of words, then pairs by token
         self.held = np.repeat(self.held_doc, self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
         self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.lengths)
@@ -147,20 +150,32 @@ class _State:
         return None if total is None else total[inverse]
 
     def _per_context(self, kind: int, at: np.ndarray, keys: np.ndarray, value: np.ndarray) -> np.ndarray | None:
-        """value of the training tokens at places `at`, summed by the context (key) of each."""
+        """value of the training tokens at places `at`, summed by the two-word context (key) of each."""
         distinct, inverse = np.unique(keys, return_inverse=True)
         total = self._ask(kind, distinct, np.bincount(inverse, np.where(self.held[at], 0.0, value), len(distinct)))
         return None if total is None else total[inverse]
 
+    def _per_word(self, kind: int, at: np.ndarray, value: np.ndarray) -> np.ndarray | None:
+        """The same by the word before: word numbers are in the order of their hashes, so nothing is sorted."""
+        before = self.tokens[at - 1]
+        here = np.zeros(len(self.vocab), bool)
+        here[before] = True
+        sums = np.bincount(before, np.where(self.held[at], 0.0, value), len(self.vocab))
+        total = self._ask(kind, self.vocab[here], sums[here])
+        if total is None:
+            return None
+        by_word = np.zeros(len(self.vocab))
+        by_word[here] = total
+        return by_word[before]
+
     def _grow(self) -> None:
-        tokens, train = self.tokens, ~self.held
-        words = self._ask(WORDS, self.vocab, np.bincount(tokens, train, len(self.vocab)))
+        tokens, train, size = self.tokens, ~self.held, len(self.vocab)
+        words = self.counts[:size] if self.counts is not None else self._ask(WORDS, self.vocab, np.bincount(tokens, train, size))
         if words is None:
             return
-        self.c = words[tokens]
+        self.c = words[tokens].astype(np.float64)
         p0 = (self.c + 1) / (self.n + self.v + 1)
         self.p = p0
-        self.base = np.log10(p0)
         out0 = np.maximum(self.c, 1) / max(1, self.n + self.v)  # the token itself left out, where it trains
 
         # one word: context count is the word's own, as every word is followed by something
@@ -169,26 +184,30 @@ class _State:
         at = np.flatnonzero((self.place >= 1) & (n_ctx >= MIN_COUNT))
         pair = np.zeros(len(tokens), np.uint64)
         pair[at] = combine(h[at - 1], h[at])
-        asked = at[self.c[at] >= 1]
-        found = self._count(PAIRS, asked, pair[asked])
-        if found is None:
-            return
-        n1 = np.zeros(len(tokens))
-        n1[asked] = found
+        if self.counts is not None:
+            n1 = self.counts[size:].astype(np.float64)
+        else:
+            asked = at[self.c[at] >= 1]
+            found = self._count(PAIRS, asked, pair[asked])
+            if found is None:
+                return
+            n1 = np.zeros(len(tokens))
+            n1[asked] = found
+            self.counted = np.concatenate([words, n1]).astype(np.int32)
         # two words
         n_two = np.r_[0.0, n1[:-1]]
         at2 = np.flatnonzero((self.place >= 2) & (n_two >= MIN_COUNT))
         context = pair[at2 - 1]
         ask2 = np.flatnonzero(n1[at2] >= 1)
         found = self._count(TRIPLES, at2[ask2], combine(context[ask2], h[at2[ask2]]))
-        novel = self._per_context(NOVEL_ONE, at, h[at - 1], n1[at] == 1)
+        novel = self._per_word(NOVEL_ONE, at, n1[at] == 1)
         if found is None or novel is None:
             return
         n2 = np.zeros(len(at2))
         n2[ask2] = found
         p1, out1 = p0.copy(), out0.copy()
         p1[at], out1[at] = _smoothed(n1[at], n_ctx[at], novel, p0[at], out0[at])
-        gain = self._per_context(ONE, at, h[at - 1], np.log(out1[at] / out0[at]))
+        gain = self._per_word(ONE, at, np.log(out1[at] / out0[at]))
         novel = self._per_context(NOVEL_TWO, at2, context, n2 == 1)
         if gain is None or novel is None:
             return
@@ -208,60 +227,91 @@ class _State:
         known = per_doc((self.c > 0).astype(np.int64))
         doc_ids = pa.array(self.docs[0], mask=self.docs[1] == 0)
         arrays = [doc_ids, pa.array(self.held_doc), pa.array(self.lengths.astype(np.int64)), pa.array(known),
-                  pa.array(per_doc(self.base)), pa.array(per_doc(np.log10(self.p)))]
+                  pa.array(per_doc(np.log10((self.c + 1) / (self.n + self.v + 1)))), pa.array(per_doc(np.log10(self.p)))]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _pack(x: np.ndarray, kind: int) -> bytes:
+    """Counts as one byte each, and apart the few that need more; other sums as doubles."""
+    if kind not in COUNTS:
+        return x.astype(np.float64).tobytes()
+    big = np.flatnonzero(x >= 255)
+    return b"".join([np.int64(len(x)).tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes(), big.astype(np.int64).tobytes(), x[big].astype(np.int64).tobytes()])
+
+
+def _unpack(data: bytes, kind: int) -> np.ndarray:
+    if kind not in COUNTS:
+        return np.frombuffer(data, np.float64)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    x = np.frombuffer(data, np.uint8, n, 8).astype(np.float64)
+    big, value = np.frombuffer(data[8 + n :], np.int64).reshape(2, -1)
+    x[big] = value
+    return x
+
+
 def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
     """One row per hash range that has keys."""
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     edges = [0, *edges, len(keys)]
     some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-    sums = sums.astype(np.float32) if kind in COUNTS else sums
     columns = [[chunk] * len(some), [kind] * len(some), [p * len(KINDS) + kind for p, _, _ in some],
-               [keys[a:b].tobytes() for _, a, b in some], [sums[a:b].tobytes() for _, a, b in some]]
+               [keys[a:b].tobytes() for _, a, b in some], [_pack(sums[a:b], kind) for _, a, b in some]]
     return texts_of.records(["chunk", "kind", "part", "keys", "sums"], columns, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
 
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     """All partial sums of one hash range and kind -> the totals, per chunk in the order of the keys it sent."""
     kind = int(rows["kind"].iloc[0])
-    kinds = np.float32 if kind in COUNTS else np.float64
     keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-    sums = np.concatenate([np.frombuffer(s, kinds) for s in rows["sums"]]).astype(np.float64)
+    sums = np.concatenate([_unpack(x, kind) for x in rows["sums"]])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, sums, len(distinct))
     ends = np.cumsum([len(k) for k in keys])
-    back = [total[inverse[e - len(k) : e]] for k, e in zip(keys, ends)]
-    small = kind in COUNTS and total.max(initial=0) < 2**31
-    back = [x.astype(np.int32 if small else np.float64).tobytes() for x in back]
+    back = [_pack(total[inverse[e - len(k) : e]], kind) for k, e in zip(keys, ends)]
     seen = [int((total > 0).sum())] + [0] * (len(rows) - 1)
-    return pd.DataFrame({"chunk": rows["chunk"], "kind": rows["kind"], "part": rows["part"], "small": small, "totals": back, "seen": seen})
+    return pd.DataFrame({"chunk": rows["chunk"], "kind": rows["kind"], "part": rows["part"], "totals": back, "seen": seen})
 
 
-ANSWER = "chunk long, kind int, part long, small boolean, totals binary, seen long"
+ANSWER = "chunk long, kind int, part long, totals binary, seen long"
+BOTH = CHUNK_SCHEMA + ", counts binary, kind int, part long, keys binary, sums binary"
 
 
 class Tree:
-    """The exchanges over staged chunks, one after another."""
+    """The exchanges over staged chunks, one after another. A chunk's row is staged again once it has its counts."""
 
-    def __init__(self, st: Staging, chunks: DataFrame, buckets: int, bits: int, n: int):
-        self.st, self.chunks, self.buckets, self.bits, self.n, self.v = st, chunks, buckets, bits, n, 0
+    def __init__(self, spark: SparkSession, st: Staging, buckets: int, bits: int, n: int):
+        self.spark, self.st, self.buckets, self.bits, self.n, self.v = spark, st, buckets, bits, n, 0
+        self.name = f"lm_chunks_{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         self.answers: list[DataFrame] = []
+        self.made = 0
+
+    def store(self, rows: DataFrame) -> None:
+        """Makes rows the chunks' table, bucketed by chunk: joins with answers move the answers only."""
+        name = f"{self.name}_{len(self.tables)}"
+        rows.write.bucketBy(self.buckets, "chunk").option("path", self.st.path(name)).option("compression", "zstd").saveAsTable(name)
+        if self.tables:
+            self.st.drop(self.tables[-1])
+        self.tables.append(name)
+
+    def _chunks(self) -> DataFrame:
+        rows = self.spark.table(self.tables[-1])
+        return rows.where(F.col("kind") == STATE) if "kind" in rows.columns else rows
 
     def _states(self, work, schema: str) -> DataFrame:
-        """work(chunk, state) -> record batches, over every chunk with its answers so far."""
+        """work(row, state) -> record batches, over every chunk with its answers so far."""
         n, v = self.n, self.v
+        src = self._chunks().drop("kind", "part", "keys", "sums")
         if self.answers:
             every = self.answers[0]
             for x in self.answers[1:]:
                 every = every.unionByName(x)
             every = every.repartition(self.buckets, "chunk").groupBy("chunk").agg(
-                F.collect_list(F.struct("kind", "part", "small", "totals")).alias("got")
+                F.collect_list(F.struct("kind", "part", "totals")).alias("got")
             )
-            src = self.chunks.join(every, "chunk", "left")
+            src = src.join(every, "chunk", "left")
         else:
-            src = self.chunks.withColumn("got", F.expr("cast(null as array<struct<kind:int,part:bigint,small:boolean,totals:binary>>)"))
+            src = src.withColumn("got", F.expr("cast(null as array<struct<kind:int,part:bigint,totals:binary>>)"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -269,52 +319,84 @@ class Tree:
                     row = batch.slice(r, 1).to_pylist()[0]
                     got: dict[int, list] = defaultdict(list)
                     for g in sorted(row.pop("got") or [], key=lambda g: g["part"]):
-                        got[g["kind"]].append(np.frombuffer(g["totals"], np.int32 if g["small"] else np.float64).astype(np.float64))
-                    answers = {k: np.concatenate(x) for k, x in got.items()}
-                    yield from work(row["chunk"], _State(row, answers, n, v))
+                        got[g["kind"]].append(_unpack(g["totals"], g["kind"]))
+                    yield from work(row, _State(row, {k: np.concatenate(x) for k, x in got.items()}, n, v))
 
         return src.mapInArrow(run, schema)
 
+    def _answer(self, sent: DataFrame) -> None:
+        answer = self.st.write(sent.groupBy("part").applyInPandas(_totals, ANSWER), f"answers{self.made}")
+        self.made += 1
+        self.answers.append(answer)
+        release(self.spark)
+
     def exchange(self) -> None:
         bits = self.bits
 
-        def work(chunk: int, state: _State) -> Iterator[pa.RecordBatch]:
+        def work(row: dict, state: _State) -> Iterator[pa.RecordBatch]:
             for kind, (keys, sums) in state.sends.items():
                 if len(keys):
-                    yield _parts(chunk, kind, keys, sums, bits)
-
-        sent = self._states(work, SENT)
-        name = f"answers{len(self.answers)}"
-        answer = self.st.write(sent.groupBy("part").applyInPandas(_totals, ANSWER), name)
-        self.answers.append(answer)
-        if len(self.answers) == 1:
-            self.v = answer.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+                    yield _parts(row["chunk"], kind, keys, sums, bits)
+
+        self._answer(self._states(work, SENT))
+        if self.made == 1:
+            self.v = self.answers[0].agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+
+    def exchange_and_store(self) -> None:
+        """An exchange whose pass also keeps the counts of words and pairs with each chunk: later passes need no more."""
+        bits, names = self.bits, [f.split()[0] for f in BOTH.split(", ")]
+        kinds = [f.split()[1] for f in BOTH.split(", ")]
+        arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        types = [arrow[k] for k in kinds]
+
+        def work(row: dict, state: _State) -> Iterator[pa.RecordBatch]:
+            whole = {**row, "counts": state.counted.tobytes(), "kind": STATE}
+            yield texts_of.records(names, [[whole.get(f)] for f in names], types)
+            for kind, (keys, sums) in state.sends.items():
+                if len(keys):
+                    some = _parts(row["chunk"], kind, keys, sums, bits).to_pydict()
+                    count_ = len(some["chunk"])
+                    yield texts_of.records(names, [some.get(f, [None] * count_) for f in names], types)
+
+        rows = self._states(work, BOTH)
+        self.store(rows)
+        for i in range(self.made):
+            self.st.drop(f"answers{i}")
+        self.answers = []
+        release(self.spark)
+        self._answer(self.spark.table(self.tables[-1]).where(F.col("kind") != STATE).select("chunk", "kind", "part", "keys", "sums"))
 
     def scores(self) -> DataFrame:
         return self._states(lambda _, state: iter([state.scores()]), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
+    def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    table = f"lm_chunks_{uuid.uuid4().hex}"
     per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(per_batch)
     with Staging(spark, "lm") as st:
         raw = st.write(_chunks(docs), "raw")
         chunk_count, n, size = raw.select(F.count("*"), F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.length("tokens")) / 4, F.lit(0))).first()
-        buckets = max(2, chunk_count // 2)
+        bits = max(0, math.ceil(math.log2(max(1, size / RANGE))))
+        tree = Tree(spark, st, max(2, chunk_count // 4), bits, n)
         try:
-            spark.conf.set(per_batch, "2")  # chunks are rows of several MB
-            raw.write.bucketBy(buckets, "chunk").option("path", st.path("chunks")).option("compression", "zstd").saveAsTable(table)
+            spark.conf.set(per_batch, "1")  # a chunk is a row of several MB
+            tree.store(raw)
             st.drop("raw")
-            tree = Tree(st, spark.table(table), buckets, max(0, math.ceil(math.log2(max(1, size / RANGE)))), n)
-            for _ in range(5):
-                tree.exchange()
+            tree.exchange()  # words
+            tree.exchange()  # pairs
+            tree.exchange_and_store()  # triples, successors seen once
+            tree.exchange()  # divergences of one-word contexts
+            tree.exchange()  # and of two-word contexts
             out = checkpoint(tree.scores().withColumn("train_tokens", F.lit(n).cast("long")))
         finally:
             spark.conf.set(per_batch, before)
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            tree.close()
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
