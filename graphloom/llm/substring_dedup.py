@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import membership
 from graphloom.llm import text as texts_of
 from graphloom.operators.stars import star_components
-from graphloom.session import Staging, checkpoint
+from graphloom.session import Staging, checkpoint, release
 
 WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 20
 BANDS, ROWS = 12, 3
@@ -170,7 +170,10 @@ def _links(docs: DataFrame, places: DataFrame, distinct: DataFrame, min_words: i
     same = F.struct("n", "mix", "least")
     many = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pid")).alias("mix"), F.min(F.xxhash64(F.lit(1), "pid")).alias("least"))
     once = many.where("n > 1").groupBy(same.alias("same")).agg(F.min("key").alias("key")).select("key", "same.n")
-    members = checkpoint(dealt.join(once, "key"))
+    once = checkpoint(once)
+    release(docs.sparkSession)
+    shared, _ = membership.split(dealt, F.col("key"), membership.bitmap(once, F.col("key")))
+    members = checkpoint(shared.join(once, "key"))
     pids = checkpoint(members.select("pid").distinct())
     # shingles of members only: first the documents that may hold one, then their paragraphs that may be one
     some, _ = membership.split(places.select("doc_id", "pid"), F.col("pid"), membership.bitmap(pids, F.col("pid")))
@@ -202,6 +205,7 @@ def repeated_paragraphs(
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "at").alias("first")
         distinct = made.groupBy("pid").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands"))
         distinct = st.write(distinct, "distinct")
+        release(docs.sparkSession)
         places = made.drop("bands")
         tied = star_components(_links(docs, places, distinct, min_words, width, threshold, split))
         rooted = distinct.drop("bands").join(tied.withColumnRenamed("u", "pid"), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
