@@ -23,9 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint: its files are in the shared folder, so a lost executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cuts lineage with a reliable checkpoint: its files are in the shared folder, so a lost executor loses nothing.
+
+    A checkpoint keeps the constraints of the plan it cuts (which columns are equal), and those of a loop of joins multiply
+    from round to round until planning takes longer than the work; so none are derived while it is made.
+    """
+    spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    shared_folder(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=eager)
+    finally:
+        spark.conf.set(key, before)
 
 
 def release(spark: SparkSession) -> None:
