@@ -249,20 +249,29 @@ def _unpack(data: bytes, kind: int) -> np.ndarray:
     return x
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by byte planes: the upper planes are long runs, which the shuffle's codec takes out."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+
+
 def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
     """One row per hash range that has keys."""
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     edges = [0, *edges, len(keys)]
     some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     columns = [[chunk] * len(some), [kind] * len(some), [p * len(KINDS) + kind for p, _, _ in some],
-               [keys[a:b].tobytes() for _, a, b in some], [_pack(sums[a:b], kind) for _, a, b in some]]
+               [_pack_keys(keys[a:b]) for _, a, b in some], [_pack(sums[a:b], kind) for _, a, b in some]]
     return texts_of.records(["chunk", "kind", "part", "keys", "sums"], columns, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
 
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     """All partial sums of one hash range and kind -> the totals, per chunk in the order of the keys it sent."""
     kind = int(rows["kind"].iloc[0])
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+    keys = [_unpack_keys(k) for k in rows["keys"]]
     sums = np.concatenate([_unpack(x, kind) for x in rows["sums"]])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, sums, len(distinct))
@@ -273,35 +282,36 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 ANSWER = "chunk long, kind int, part long, totals binary, seen long"
-BOTH = CHUNK_SCHEMA + ", counts binary, kind int, part long, keys binary, sums binary"
+BOTH = "chunk long, counts binary, kind int, part long, keys binary, sums binary"
 
 
 class Tree:
-    """The exchanges over staged chunks, one after another. A chunk's row is staged again once it has its counts."""
+    """The exchanges over staged chunks, one after another. Once a chunk has its counts they are staged beside it."""
 
-    def __init__(self, spark: SparkSession, st: Staging, buckets: int, bits: int, n: int):
-        self.spark, self.st, self.buckets, self.bits, self.n, self.v = spark, st, buckets, bits, n, 0
-        self.name = f"lm_chunks_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, st: Staging, buckets: int):
+        self.spark, self.st, self.buckets, self.bits, self.n, self.v = spark, st, buckets, 0, 0, 0
+        self.name = f"lm_{uuid.uuid4().hex}"
         self.tables: list[str] = []
         self.answers: list[DataFrame] = []
         self.made = 0
 
-    def store(self, rows: DataFrame) -> None:
-        """Makes rows the chunks' table, bucketed by chunk: joins with answers move the answers only."""
+    def store(self, rows: DataFrame) -> DataFrame:
+        """A table bucketed by chunk: joins with it move only what is not."""
         name = f"{self.name}_{len(self.tables)}"
         rows.write.bucketBy(self.buckets, "chunk").option("path", self.st.path(name)).option("compression", "zstd").saveAsTable(name)
-        if self.tables:
-            self.st.drop(self.tables[-1])
         self.tables.append(name)
+        return self.spark.table(name)
 
     def _chunks(self) -> DataFrame:
-        rows = self.spark.table(self.tables[-1])
-        return rows.where(F.col("kind") == STATE) if "kind" in rows.columns else rows
+        rows = self.spark.table(self.tables[0])
+        if len(self.tables) == 1:
+            return rows
+        return rows.join(self.spark.table(self.tables[1]).where(F.col("kind") == STATE).select("chunk", "counts"), "chunk")
 
     def _states(self, work, schema: str) -> DataFrame:
         """work(row, state) -> record batches, over every chunk with its answers so far."""
         n, v = self.n, self.v
-        src = self._chunks().drop("kind", "part", "keys", "sums")
+        src = self._chunks()
         if self.answers:
             every = self.answers[0]
             for x in self.answers[1:]:
@@ -350,7 +360,7 @@ class Tree:
         types = [arrow[k] for k in kinds]
 
         def work(row: dict, state: _State) -> Iterator[pa.RecordBatch]:
-            whole = {**row, "counts": state.counted.tobytes(), "kind": STATE}
+            whole = {"chunk": row["chunk"], "counts": state.counted.tobytes(), "kind": STATE}
             yield texts_of.records(names, [[whole.get(f)] for f in names], types)
             for kind, (keys, sums) in state.sends.items():
                 if len(keys):
@@ -358,13 +368,12 @@ class Tree:
                     count_ = len(some["chunk"])
                     yield texts_of.records(names, [some.get(f, [None] * count_) for f in names], types)
 
-        rows = self._states(work, BOTH)
-        self.store(rows)
+        sent = self.store(self._states(work, BOTH)).where(F.col("kind") != STATE).drop("counts")
         for i in range(self.made):
             self.st.drop(f"answers{i}")
         self.answers = []
         release(self.spark)
-        self._answer(self.spark.table(self.tables[-1]).where(F.col("kind") != STATE).select("chunk", "kind", "part", "keys", "sums"))
+        self._answer(sent)
 
     def scores(self) -> DataFrame:
         return self._states(lambda _, state: iter([state.scores()]), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
@@ -380,14 +389,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(per_batch)
     with Staging(spark, "lm") as st:
-        raw = st.write(_chunks(docs), "raw")
-        chunk_count, n, size = raw.select(F.count("*"), F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.length("tokens")) / 4, F.lit(0))).first()
-        bits = max(0, math.ceil(math.log2(max(1, size / RANGE))))
-        tree = Tree(spark, st, max(2, chunk_count // 4), bits, n)
+        made = _chunks(docs)
+        tree = Tree(spark, st, max(2, made.rdd.getNumPartitions()))
         try:
+            sizes = tree.store(made).select(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.length("tokens")) / 4, F.lit(0)))
+            n, size = sizes.first()
+            tree.n, tree.bits = n, max(0, math.ceil(math.log2(max(1, size / RANGE))))
             spark.conf.set(per_batch, "1")  # a chunk is a row of several MB
-            tree.store(raw)
-            st.drop("raw")
             tree.exchange()  # words
             tree.exchange()  # pairs
             tree.exchange_and_store()  # triples, successors seen once
