@@ -25,17 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts lineage with a reliable checkpoint: its files are in the shared folder, so a lost executor loses nothing.
 
-    A checkpoint keeps the constraints of the plan it cuts (which columns are equal), and those of a loop of joins multiply
-    from round to round until planning takes longer than the work; so none are derived while it is made.
+    Spark lets a checkpoint keep the partitioning, ordering and constraints of the plan it cuts, under every name its
+    columns had; in a loop of joins these multiply from round to round until planning takes longer than the work. So the
+    frame that is returned has the checkpoint's rows and schema only.
     """
-    spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=eager)
-    finally:
-        spark.conf.set(key, before)
+    made = df.checkpoint(eager=eager)
+    plan = made._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRDD" and not plan.getClass().getSimpleName().startswith("LogicalRDD"):
+        return made
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), made._jdf.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:
