@@ -187,6 +187,7 @@ class Bpe:
 
 def _mapped(df: DataFrame, path: str, source: str, keep: list[str], to: list[tuple[str, str]], work) -> DataFrame:
     src = df.select(*[F.col(f"`{n}`") for n in keep], F.col(f"`{source}`").alias("__in"))
+    texts_of.bound_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(Bpe(path))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
     schema = ", ".join(fields + [f"`{n}` {t}" for n, t in to])

@@ -258,6 +258,7 @@ def extract(pages: DataFrame, field: Field, source: str = "html", to: str = "tex
     """Columns `keep` of pages (all but source, if None) and `to`: the main text."""
     keep = [n for n in pages.columns if n not in (source, to)] if keep is None else keep
     src = pages.select(*[F.col(f"`{n}`") for n in keep], F.col(f"`{source}`").cast("string").alias("__in"))
+    texts_of.bound_batches(pages.sparkSession)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [f"`{to}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     modulus, value = HELD_OUT
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % modulus == value, F.lit(False))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
+    texts_of.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, made, task = _Packer(), 0, TaskContext.get().partitionId()

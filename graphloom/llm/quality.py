@@ -131,6 +131,7 @@ def remainder(doc_id: Column) -> Column:
 
 def _mapped(df: DataFrame, names: list[str], to: str, width: int, work) -> DataFrame:
     src = df.select(*[F.col(f"`{n}`") for n in names], F.col("text").cast("string").alias("__text"))
+    texts_of.bound_batches(df.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

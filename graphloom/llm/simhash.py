@@ -63,6 +63,7 @@ def fingerprint(data: bytes, width: int = WIDTH) -> int:
 def with_fingerprints(df: DataFrame, column: str, width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` and fp (long: the 64 bits) of the text in `column`."""
     keep = list(keep or [])
+    text.bound_batches(df.sparkSession)
     src = df.select(*[F.col(f"`{n}`") for n in keep], F.col(f"`{column}`").cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["fp long"])
 

@@ -107,6 +107,7 @@ def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _paragraphs(docs: DataFrame, min_words: int, width: int, sets: bool) -> DataFrame:
     """sets: pid and the sorted set of shingles; else the place of each paragraph, pid and its band keys."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts_of.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 512
 
@@ -30,3 +32,11 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
 
 def records(names: list[str], arrays: list, types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, type=t) for a, t in zip(arrays, types, strict=True)], names=names)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to a few MB where they may be larger: whole texts travel in them."""
+    for key, most in BATCH.items():
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
