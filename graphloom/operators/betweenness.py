@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, checkpoint_measured
 
 
 def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
@@ -30,13 +30,13 @@ def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
 
 def _forward(edges: DataFrame, roots: DataFrame) -> list[DataFrame]:
     """Per depth (root, id, sigma): vertices first reached there and their numbers of shortest paths."""
-    seen = checkpoint(roots.select("root", F.col("root").alias("id"), F.lit(1.0).alias("sigma")))
-    levels, visited = [seen], seen.select("root", "id")
+    start = checkpoint(roots.select("root", F.col("root").alias("id"), F.lit(1.0).alias("sigma")))
+    levels, visited = [start], start.select("root", "id")
     while True:
         front = levels[-1].select("root", F.col("id").alias("src"), "sigma")
         reached = edges.join(front, "src").groupBy("root", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        fresh = checkpoint(reached.join(visited, ["root", "id"], "left_anti"))
-        if fresh.isEmpty():
+        fresh, seen = checkpoint_measured(reached.join(visited, ["root", "id"], "left_anti"), n=F.count(F.lit(1)))
+        if not seen["n"]:
             return levels
         levels.append(fresh)
         visited = visited.unionByName(fresh.select("root", "id"))

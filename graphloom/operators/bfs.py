@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, checkpoint_measured
 
 ALPHA, BETA = 15, 18
 FOLD = 8
@@ -71,8 +71,9 @@ def bfs(graph: Graph, root: int, strategy: str = "top_down", alpha: int = ALPHA,
             levels = [visited]
         level += 1
         work = step or switch.choose(frontier, size)
-        frontier = checkpoint(work(edges, frontier, visited).select("id", F.lit(level).alias("level")))
-        size = frontier.count()
+        found = work(edges, frontier, visited).select("id", F.lit(level).alias("level"))
+        frontier, seen = checkpoint_measured(found, size=F.count(F.lit(1)))
+        size = seen["size"]
         levels.append(frontier)
     out = levels[0]
     for x in levels[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, mirrored
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, checkpoint_measured
 
 SALT = 16
 
@@ -68,10 +68,10 @@ def connected_components(graph: Graph, strategy: str = "concurrent", max_rounds:
         else:
             raise ValueError(f"unknown strategy {strategy!r}")
         old = state.select("id", F.col("label").alias("was"))
-        both = checkpoint(after.join(old, "id"))
+        both, seen = checkpoint_measured(after.join(old, "id"), changed=F.count_if(F.col("label") != F.col("was")))
         state = both.select("id", "label")
         changed = both.where("label <> was").select("id", "label")
-        if changed.isEmpty():
+        if not seen["changed"]:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, checkpoint_measured
 
 
 def page_rank(
@@ -30,8 +30,8 @@ def page_rank(
         got = sent.groupBy(F.col("to").alias("id")).agg(F.sum("share").alias("sum"))
         fresh = F.lit(base) + F.lit(damping) * F.coalesce("sum", F.lit(0.0))
         after = state.join(got, "id", "left").select("id", "degree", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved"))
-        after = checkpoint(after)
-        difference = after.agg(F.coalesce(F.sum("moved"), F.lit(0.0))).first()[0]
+        after, seen = checkpoint_measured(after, moved=F.coalesce(F.sum("moved"), F.lit(0.0)))
+        difference = seen["moved"]
         state, rounds = after.select("id", "degree", "score"), rounds + 1
     edges.unpersist()
     rest = 0.0 if isolated == "zero" else base

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, checkpoint_measured
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -18,10 +18,11 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 
 def _round(edges: DataFrame) -> DataFrame:
+    """Least neighbours are cut off before they are joined: a join of two plain shuffles is one that AQE can split at a hub."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.where("u <> v").distinct()  # every edge now points down: v < u
-    least = _least(large)
+    large = both.where("v > u").join(checkpoint(_least(both)), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = checkpoint(large.where("u <> v").distinct())  # every edge now points down: v < u
+    least = checkpoint(_least(large))
     small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -32,12 +33,15 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nulls and loops are ignored; a root itself has no row.
     """
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = checkpoint(down), None
+    marks = {"n": F.count(F.lit(1)), "mix": F.bit_xor(F.xxhash64("u", "v"))}
+    now, state = checkpoint_measured(down, **marks)
     for _ in range(max_rounds):
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
+        if not state["n"]:
+            break
+        before = state
+        now, state = checkpoint_measured(_round(now), **marks)
+        if state == before:
             break
-        before, now = state, checkpoint(_round(now))
     else:
         raise RuntimeError("components did not settle")
     return now.select("u", F.col("v").alias("root"))

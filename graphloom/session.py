@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -38,6 +38,13 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), made._jdf.schema(), False), spark)
 
 
+def checkpoint_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """(checkpoint of df, values of aggregates over its rows): the aggregates ride on the checkpoint's own job."""
+    seen = Observation()
+    made = checkpoint(df.observe(seen, *[m.alias(n) for n, m in measures.items()]))
+    return made, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects."""
     gc.collect()
