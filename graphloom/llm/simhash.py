@@ -223,7 +223,7 @@ def classes(prints: DataFrame, distance: int = DISTANCE, split: int = SPLIT) ->
     rooted = distinct.join(tied.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = checkpoint(rooted)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("members"))
-    return rooted.select("fp", "root").join(named, "root")
+    return rooted.select("fp", "root").join(checkpoint(named), "root")
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, split: int = SPLIT) -> DataFrame:

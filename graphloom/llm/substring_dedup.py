@@ -212,7 +212,7 @@ def repeated_paragraphs(
         rooted = distinct.drop("bands").join(tied.withColumnRenamed("u", "pid"), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
         rooted = checkpoint(rooted)
         classes = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size")).where("class_size > 1")
-        named = rooted.select("pid", "root").join(classes, "root").drop("root")
+        named = checkpoint(rooted.select("pid", "root").join(checkpoint(classes), "root").drop("root"))
         out = places.join(named, "pid").select(
             "doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_id"),
             F.col("keep.paragraph").alias("keep_paragraph"), "class_size", (F.col("at") == F.col("keep.at")).alias("kept"),
