@@ -17,8 +17,9 @@ from graphloom.operators import betweenness, bfs, components, katz, pagerank, tr
 from graphloom.plans import fixtures, oracles, work
 from graphloom.plans.fixtures import BUCKET, D_SQL, S_SQL, T_SQL
 from graphloom.plans.oracles import DEGREE, ENDS, PARTS
+from graphloom.session import Staging
 from graphloom.sources import generators, updates
-from graphloom.streaming.incremental import KatzState, TriangleState
+from graphloom.streaming.incremental import KatzState, TriangleState, run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,11 +203,7 @@ _ROUNDS = 5
 
 def _katz_after(g: Graph, inserts: bool) -> DataFrame:
     """Scores kept up to date through a batch; alpha is that of the whole graph on both sides."""
-    start = _split(g)[0] if inserts else g
-    state = KatzState.__new__(KatzState)
-    state.alpha = 1.0 / (katz.max_degree(g) + 1)
-    state.graph, state.top_degree, state.top_degree_grew = start, katz.max_degree(g), False
-    state.history = katz.fixed_rounds(start, _ROUNDS, state.alpha)
+    state = _katz_state(_split(g)[0] if inserts else g, g)
     if inserts:
         state.insert(_split(g)[1][0])
     else:
@@ -220,6 +217,40 @@ query("katz_delta_delete", oracles.katz_fixed(S_SQL, ENDS, _ALPHA, _ROUNDS, f"{B
 query("katz_delta_insert_directed", oracles.katz_fixed(T_SQL, ENDS, _ALPHA, _ROUNDS, f"{BUCKET} <= 8"))(on(T, lambda g: _katz_after(g, True)))
 query("katz_delta_delete_directed", oracles.katz_fixed(T_SQL, ENDS, _ALPHA, _ROUNDS, f"{BUCKET} <> 0"))(on(T, lambda g: _katz_after(g, False)))
 
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+def _streamed(g: Graph, state_of: Callable[[Graph], object], result: Callable[[object], DataFrame]) -> DataFrame:
+    """Feeds both insert batches of the split, then a deletion of bucket 0, as files of a stream."""
+    base, batches = _split(g)
+    spark = g.edges.sparkSession
+    state = state_of(base)
+    with Staging(spark, "stream") as st:
+        gone = g.edges.where(generators.bucket() == 0)
+        for i, (op, rows) in enumerate([*(("insert", b) for b in batches), ("delete", gone)]):
+            rows.select(F.lit(i).alias("batch_id"), F.lit(op).alias("op"), "src", "dst").coalesce(1).write.mode("append").parquet(st.path("in"))
+        run_stream(spark, state, st.path("in"), st.path("progress"), files_per_batch=100)
+        return result(state)
+
+
+query("triangles_stream", oracles.triangles_per_vertex(f"{S_SQL.replace('e AS MATERIALIZED', 'e0 AS MATERIALIZED')}, e AS MATERIALIZED (SELECT * FROM e0 WHERE {BUCKET} <> 0)", (2, 2, 2)).replace(ENDS, "u AS MATERIALIZED (SELECT src AS id FROM e0 UNION SELECT dst FROM e0)"))(
+    on(S, lambda g: _streamed(g, TriangleState, lambda s: s.counts))
+)
+
+
+def _katz_state(g: Graph, whole: Graph) -> KatzState:
+    """A state of fixed rounds whose alpha is that of the whole graph."""
+    state = KatzState.__new__(KatzState)
+    state.top_degree, state.top_degree_grew = katz.max_degree(whole), False
+    state.alpha = 1.0 / (state.top_degree + 1)
+    state.graph, state.history = g, katz.fixed_rounds(g, _ROUNDS, state.alpha)
+    return state
+
+
+query("katz_stream", oracles.katz_fixed(S_SQL, ENDS, _ALPHA, _ROUNDS, f"{BUCKET} <> 0"))(
+    on(S, lambda g: _streamed(g, lambda base: _katz_state(base, g), lambda s: s.scores().select("id", F.round("kc", 9).alias("kc"))))
+)
+
 # --- generators ----------------------------------------------------------------------------------------------------
 
 _PARTS_N, _DRAWS = "(SELECT count(*) FROM part)", 2000
