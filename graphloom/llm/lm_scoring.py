@@ -69,8 +69,18 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(32))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers by byte planes: the upper planes are long runs, which a codec takes out."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 class _Packer:
-    """Collects documents into one chunk; words are numbered by rank of their hash."""
+    """Collects documents into one chunk; words are numbered as they come, so frequent ones have small numbers."""
 
     def __init__(self) -> None:
         self.docs, self.known, self.lengths, self.held, self.tokens, self.size = [], [], [], [], [], 0
@@ -87,14 +97,13 @@ class _Packer:
         self.size += len(words) + 1
 
     def batch(self, chunk: int) -> pa.RecordBatch:
-        hashes = _hashes(list(self.number))
-        vocab, rank = np.unique(hashes, return_inverse=True)
+        vocab = _hashes(list(self.number))
         end = np.zeros(1, np.int32)
         tokens = np.concatenate([x for t in self.tokens for x in (t, end)])
         held, lengths = np.array(self.held, np.uint8), np.array(self.lengths, np.int32)
         docs = np.stack([np.array(self.docs, np.int64), np.array(self.known, np.int64)])
-        data = [docs, lengths, held, rank.astype(np.int32)[tokens], vocab]
-        columns = [[chunk], *[[x.tobytes()] for x in data], [int(lengths[held == 0].sum())]]
+        data = [docs.tobytes(), lengths.tobytes(), held.tobytes(), _planes(tokens), vocab.tobytes()]
+        columns = [[chunk], *[[x] for x in data], [int(lengths[held == 0].sum())]]
         types = [pa.int64(), *[pa.binary()] * 5, pa.int64()]
         return texts_of.records([f.split()[0] for f in CHUNK_SCHEMA.split(", ")], columns, types)
 
@@ -127,10 +136,11 @@ class _State:
         self.docs = np.frombuffer(row["docs"], np.int64).reshape(2, -1)
         self.lengths = np.frombuffer(row["lengths"], np.int32)
         self.held_doc = np.frombuffer(row["held"], np.uint8).astype(bool)
-        self.tokens = np.frombuffer(row["tokens"], np.int32)
-        self.vocab = np.frombuffer(row["vocab"], np.uint64)
+        # from here on words are numbered by the rank of their hash: keys sent and answers received have that order
+        self.vocab, rank = np.unique(np.frombuffer(row["vocab"], np.uint64), return_inverse=True)
+        self.tokens = rank.astype(np.int32)[_from_planes(row["tokens"], np.int32)]
         counted = row.get("counts")
-        self.counts = None if counted is None else np.frombuffer(counted, np.int32)  # of words, then pairs by token
+        self.counts = None if counted is None else _from_planes(counted, np.int32)  # of words, then pairs by token
         self.held = np.repeat(self.held_doc, self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
         self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.lengths)
@@ -251,29 +261,20 @@ def _unpack(data: bytes, kind: int) -> np.ndarray:
     return x
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys by byte planes: the upper planes are long runs, which the shuffle's codec takes out."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpack_keys(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
-
-
 def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
     """One row per hash range that has keys."""
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     edges = [0, *edges, len(keys)]
     some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     columns = [[chunk] * len(some), [kind] * len(some), [p * len(KINDS) + kind for p, _, _ in some],
-               [_pack_keys(keys[a:b]) for _, a, b in some], [_pack(sums[a:b], kind) for _, a, b in some]]
+               [_planes(keys[a:b]) for _, a, b in some], [_pack(sums[a:b], kind) for _, a, b in some]]
     return texts_of.records(["chunk", "kind", "part", "keys", "sums"], columns, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
 
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     """All partial sums of one hash range and kind -> the totals, per chunk in the order of the keys it sent."""
     kind = int(rows["kind"].iloc[0])
-    keys = [_unpack_keys(k) for k in rows["keys"]]
+    keys = [_from_planes(k, np.uint64) for k in rows["keys"]]
     sums = np.concatenate([_unpack(x, kind) for x in rows["sums"]])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, sums, len(distinct))
@@ -362,7 +363,7 @@ class Tree:
         types = [arrow[k] for k in kinds]
 
         def work(row: dict, state: _State) -> Iterator[pa.RecordBatch]:
-            whole = {"chunk": row["chunk"], "counts": state.counted.tobytes(), "kind": STATE}
+            whole = {"chunk": row["chunk"], "counts": _planes(state.counted), "kind": STATE}
             yield texts_of.records(names, [[whole.get(f)] for f in names], types)
             for kind, (keys, sums) in state.sends.items():
                 if len(keys):
