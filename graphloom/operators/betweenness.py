@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import checkpoint, checkpoint_measured
+from graphloom.session import checkpoint, checkpoint_measured, small
 
 
 def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
@@ -28,17 +28,20 @@ def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
     return draws.select(at.alias("at")).join(ranked, "at").select(F.col("id").alias("root"))
 
 
-def _forward(edges: DataFrame, roots: DataFrame) -> list[DataFrame]:
-    """Per depth (root, id, sigma): vertices first reached there and their numbers of shortest paths."""
+def _forward(edges: DataFrame, roots: DataFrame) -> list[tuple[DataFrame, int]]:
+    """Per depth ((root, id, sigma), rows): vertices first reached there and their numbers of shortest paths."""
     start = checkpoint(roots.select("root", F.col("root").alias("id"), F.lit(1.0).alias("sigma")))
-    levels, visited = [start], start.select("root", "id")
+    size = start.count()
+    levels, visited, total = [(start, size)], start.select("root", "id"), size
     while True:
-        front = levels[-1].select("root", F.col("id").alias("src"), "sigma")
-        reached = edges.join(front, "src").groupBy("root", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        fresh, seen = checkpoint_measured(reached.join(visited, ["root", "id"], "left_anti"), n=F.count(F.lit(1)))
-        if not seen["n"]:
+        front = levels[-1][0].select("root", F.col("id").alias("src"), "sigma")
+        reached = edges.join(small(front, size), "src").groupBy("root", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+        fresh, seen = checkpoint_measured(reached.join(small(visited, total), ["root", "id"], "left_anti"), n=F.count(F.lit(1)))
+        size = seen["n"]
+        if not size:
             return levels
-        levels.append(fresh)
+        levels.append((fresh, size))
+        total += size
         visited = visited.unionByName(fresh.select("root", "id"))
         if len(levels) % 8 == 0:
             visited = checkpoint(visited)
@@ -47,16 +50,16 @@ def _forward(edges: DataFrame, roots: DataFrame) -> list[DataFrame]:
 def _block(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, value): dependencies of all roots of the block, summed."""
     levels = _forward(edges, roots)
-    below = levels[-1].select("root", "id", "sigma", F.lit(0.0).alias("delta"))
+    below, n_below = levels[-1][0].select("root", "id", "sigma", F.lit(0.0).alias("delta")), levels[-1][1]
     total = None
-    for depth in range(len(levels) - 2, -1, -1):
+    for here, n in reversed(levels[:-1]):
         give = below.select("root", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        here = levels[depth]
-        paths = edges.join(here.select("root", F.col("id").alias("src")), "src").join(give, ["root", "dst"])
+        paths = edges.join(small(here.select("root", F.col("id").alias("src")), n), "src").join(small(give, n_below), ["root", "dst"])
         got = paths.groupBy("root", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
-        below = here.join(got, ["root", "id"], "left")
+        below = here.join(small(got, n), ["root", "id"], "left")
         below = checkpoint(below.select("root", "id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")))
-        part = below.where("id <> root").groupBy("id").agg(F.sum("delta").alias("value"))
+        n_below = n
+        part = below.where("id <> root").select("id", F.col("delta").alias("value"))
         total = part if total is None else total.unionByName(part)
     if total is None:
         return roots.select(F.col("root").alias("id"), F.lit(0.0).alias("value")).limit(0)

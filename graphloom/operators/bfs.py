@@ -10,22 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import checkpoint, checkpoint_measured
+from graphloom.session import checkpoint, checkpoint_measured, small
 
 ALPHA, BETA = 15, 18
 FOLD = 8
 UNREACHED = 2147483647
 
 
-def _top_down(edges: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
-    reached = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-    return reached.join(visited.select("id"), "id", "left_anti")
+def _top_down(edges: DataFrame, frontier: DataFrame, visited: DataFrame, size: int, seen: int) -> DataFrame:
+    front = small(frontier.select(F.col("id").alias("src")), size)
+    reached = edges.join(front, "src").select(F.col("dst").alias("id")).distinct()
+    return reached.join(small(visited.select("id"), seen), "id", "left_anti")
 
 
-def _bottom_up(edges: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
+def _bottom_up(edges: DataFrame, frontier: DataFrame, visited: DataFrame, size: int, seen: int) -> DataFrame:
     """From the side of the unvisited: their in-edges whose source is in the frontier."""
-    open_ = edges.join(visited.select(F.col("id").alias("dst")), "dst", "left_anti")
-    return open_.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    open_ = edges.join(small(visited.select(F.col("id").alias("dst")), seen), "dst", "left_anti")
+    front = small(frontier.select(F.col("id").alias("src")), size)
+    return open_.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
 class _Switch:
@@ -39,7 +41,7 @@ class _Switch:
 
     def choose(self, frontier: DataFrame, awake: int):
         if not self.done:
-            scout = frontier.join(self.degrees, "id").agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+            scout = small(frontier, awake).join(self.degrees, "id").agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
             if not self.up:
                 self.up = scout >= self.left / self.alpha
                 self.left -= scout
@@ -61,7 +63,7 @@ def bfs(graph: Graph, root: int, strategy: str = "top_down", alpha: int = ALPHA,
     if not size:
         edges.unpersist()
         return spark.createDataFrame([], "id long, level int")
-    levels, level = [frontier], 0
+    levels, level, reached = [frontier], 0, size
     while size:
         visited = levels[0]
         for x in levels[1:]:
@@ -71,9 +73,10 @@ def bfs(graph: Graph, root: int, strategy: str = "top_down", alpha: int = ALPHA,
             levels = [visited]
         level += 1
         work = step or switch.choose(frontier, size)
-        found = work(edges, frontier, visited).select("id", F.lit(level).alias("level"))
+        found = work(edges, frontier, visited, size, reached).select("id", F.lit(level).alias("level"))
         frontier, seen = checkpoint_measured(found, size=F.count(F.lit(1)))
         size = seen["size"]
+        reached += size
         levels.append(frontier)
     out = levels[0]
     for x in levels[1:]:

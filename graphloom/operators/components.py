@@ -12,37 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, mirrored
-from graphloom.session import checkpoint, checkpoint_measured
+from graphloom.session import BROADCAST_ROWS, checkpoint, checkpoint_measured, small
 
 SALT = 16
 
 
-def _raise(state: DataFrame, found: DataFrame) -> DataFrame:
+def _raise(state: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """state with labels raised to those of found(id, label)."""
     best = found.groupBy("id").agg(F.max("label").alias("up"))
-    return state.join(best, "id", "left").select("id", F.greatest("label", "up").alias("label"))
+    return state.join(small(best, n), "id", "left").select("id", F.greatest("label", "up").alias("label"))
 
 
-def shortcut(state: DataFrame) -> DataFrame:
-    """Pointer jump: label of the label."""
+def shortcut(state: DataFrame, n: int = BROADCAST_ROWS + 1) -> DataFrame:
+    """Pointer jump: label of the label. n: rows of state, if known."""
     up = state.select(F.col("id").alias("label"), F.col("label").alias("up"))
-    return state.join(up, "label").select("id", F.col("up").alias("label"))
+    return state.join(small(up, n), "label").select("id", F.col("up").alias("label"))
 
 
-def _from_neighbours(edges: DataFrame, state: DataFrame) -> DataFrame:
-    return edges.join(state.select(F.col("id").alias("src"), "label"), "src").select(F.col("dst").alias("id"), "label")
+def _from_neighbours(edges: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    return edges.join(small(state.select(F.col("id").alias("src"), "label"), n), "src").select(F.col("dst").alias("id"), "label")
 
 
-def _to_roots(state: DataFrame, found: DataFrame) -> DataFrame:
+def _to_roots(state: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """found, and the same label for the root (old label) of each vertex that it raises."""
     best = found.groupBy("id").agg(F.max("label").alias("label"))
     old = state.select("id", F.col("label").alias("root"))
-    roots = best.join(old, "id").where("label > root").select(F.col("root").alias("id"), "label")
+    roots = best.join(small(old, n), "id").where("label > root").select(F.col("root").alias("id"), "label")
     return best.unionByName(roots)
 
 
-def _salted(edges: DataFrame, state: DataFrame) -> DataFrame:
-    found = _from_neighbours(edges, state).withColumn("salt", F.pmod(F.xxhash64("label"), F.lit(SALT)))
+def _salted(edges: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    found = _from_neighbours(edges, state, n).withColumn("salt", F.pmod(F.xxhash64("label"), F.lit(SALT)))
     return found.groupBy("id", "salt").agg(F.max("label").alias("label")).drop("salt")
 
 
@@ -54,21 +54,21 @@ def connected_components(graph: Graph, strategy: str = "concurrent", max_rounds:
         state = edges.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label"))
     else:
         state = every
-    state = checkpoint(state)
-    changed = state
+    state, seen = checkpoint_measured(state, n=F.count(F.lit(1)))
+    changed, n = state, seen["n"]
     for _ in range(max_rounds):
         if strategy == "baseline":
-            after = shortcut(checkpoint(shortcut(checkpoint(_raise(state, _from_neighbours(edges, state))))))
+            after = shortcut(checkpoint(shortcut(checkpoint(_raise(state, _from_neighbours(edges, state, n), n)), n)), n)
         elif strategy == "concurrent":
-            after = shortcut(checkpoint(_raise(state, _to_roots(state, _from_neighbours(edges, state)))))
+            after = shortcut(checkpoint(_raise(state, _to_roots(state, _from_neighbours(edges, state, n), n), n)), n)
         elif strategy == "load_balanced":
-            after = shortcut(checkpoint(_raise(state, _to_roots(state, _salted(edges, state)))))
+            after = shortcut(checkpoint(_raise(state, _to_roots(state, _salted(edges, state, n), n), n)), n)
         elif strategy == "delta":
-            after = shortcut(checkpoint(_raise(state, _to_roots(state, _from_neighbours(edges, changed)))))
+            after = shortcut(checkpoint(_raise(state, _to_roots(state, _from_neighbours(edges, changed, n), n), n)), n)
         else:
             raise ValueError(f"unknown strategy {strategy!r}")
         old = state.select("id", F.col("label").alias("was"))
-        both, seen = checkpoint_measured(after.join(old, "id"), changed=F.count_if(F.col("label") != F.col("was")))
+        both, seen = checkpoint_measured(after.join(small(old, n), "id"), changed=F.count_if(F.col("label") != F.col("was")))
         state = both.select("id", "label")
         changed = both.where("label <> was").select("id", "label")
         if not seen["changed"]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, small
 
 
 @dataclass
@@ -53,11 +53,12 @@ def katz(graph: Graph, max_iterations: int = 20, k: int = 100, top_degree: int |
     state = checkpoint(state)
     history = [state.select("id", "c")]
     active, iteration = state.count(), 1
+    n = active
     while active > k and iteration < max_iterations:
         walked = _walk(edges, state.select("id", "c"), alpha).withColumnRenamed("c", "next")
         c = F.coalesce("next", F.lit(0.0))
         kc = F.col("kc") + c
-        state = state.join(walked, "id", "left").select("id", c.alias("c"), kc.alias("kc"), (kc + c / F.lit(float(max(1, m)))).alias("lower"), (kc + c).alias("upper"), "active")
+        state = state.join(small(walked, n), "id", "left").select("id", c.alias("c"), kc.alias("kc"), (kc + c / F.lit(float(max(1, m)))).alias("lower"), (kc + c).alias("upper"), "active")
         state = checkpoint(state)
         if k > 0:
             best = state.where("active").orderBy(F.desc("lower")).limit(k).agg(F.min("lower")).first()[0]

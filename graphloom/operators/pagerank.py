@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom import functions as fn
 from graphloom.graph import Graph
-from graphloom.session import checkpoint, checkpoint_measured
+from graphloom.session import checkpoint, checkpoint_measured, small
 
 
 def page_rank(
@@ -27,10 +27,11 @@ def page_rank(
     state = checkpoint(state)
     difference, rounds = threshold + 1, 0
     while rounds < max_iterations and difference > threshold:
-        sent = edges.join(state.select(F.col("id").alias("from"), fn.contribution(F.col("score"), F.col("degree")).alias("share")), "from")
+        shares = state.select(F.col("id").alias("from"), fn.contribution(F.col("score"), F.col("degree")).alias("share"))
+        sent = edges.join(small(shares, nv), "from")
         got = sent.groupBy(F.col("to").alias("id")).agg(F.sum("share").alias("sum"))
-        fresh = fn.damped(F.col("sum"), damping, nv)
-        after = state.join(got, "id", "left").select("id", "degree", fresh.alias("score"), fn.moved(fresh, F.col("score")).alias("moved"))
+        fresh = fn.damped(F.col("sum"), damping, max(1, nv))
+        after = state.join(small(got, nv), "id", "left").select("id", "degree", fresh.alias("score"), fn.moved(fresh, F.col("score")).alias("moved"))
         after, seen = checkpoint_measured(after, moved=F.coalesce(F.sum("moved"), F.lit(0.0)))
         difference = seen["moved"]
         state, rounds = after.select("id", "degree", "score"), rounds + 1

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.functions import broadcast
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -45,6 +46,14 @@ def checkpoint_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, d
     return made, seen.get
 
 
+BROADCAST_ROWS = 200_000  # of narrow state rows (a few numbers each): some MB at most
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it was counted to have few rows; else as it is, to be shuffled."""
+    return broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects."""
     gc.collect()
