@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import text as texts_of
 from graphloom.llm.html_pages import MARK, labelled_pages
 
+INNERMOST = 64  # ancestors of a block that features see
 PAGES, SEED, STEPS, RIDGE, RATE = 600, 11, 250, 0.0005, 0.2
 
 # Element kinds.
@@ -85,7 +86,7 @@ def leaf_blocks(page: str) -> list[Block]:
         piece = page[at : m.start() if m else size]
         if piece:
             if block is None and not piece.isspace():
-                block = Block(tuple(stack))
+                block = Block(tuple(stack[-INNERMOST:]))
                 found.append(block)
             if block is not None:
                 plain = html.unescape(piece) if "&" in piece else piece
