@@ -110,7 +110,7 @@ def katz_fixed(graph: str, universe: str, alpha: str, rounds: int, walked: str)
             f"w{i} AS (SELECT g.src AS id, sum(x.c) * any_value(alpha) AS c FROM g JOIN k{i - 1} x ON x.id = g.dst, m GROUP BY g.src),\n"
             f"k{i} AS MATERIALIZED (SELECT x.id, coalesce(w.c, 0) AS c, x.kc + coalesce(w.c, 0) AS kc FROM k{i - 1} x LEFT JOIN w{i} w USING (id))"
         )
-    return _with(*parts) + f"SELECT id, round(kc, 9) AS kc FROM k{rounds}"
+    return _with(*parts) + f"SELECT id, floor(kc * 1e9 + 0.37) / 1e9 AS kc FROM k{rounds}"
 
 
 def walk_counts(graph: str, universe: str, length: int) -> str:
@@ -138,7 +138,7 @@ def betweenness(roots: str) -> str:
   FROM f2 p LEFT JOIN e ON e.src = p.v LEFT JOIN g x ON x.r = p.r AND x.v = e.dst
   WHERE p.d = (SELECT max(d) - 1 FROM g) GROUP BY p.r, p.v, p.d)""",
         recursive=True,
-    ) + "SELECT u.id, round(coalesce(x.bc, 0), 6) AS bc FROM u LEFT JOIN (SELECT v AS id, sum(dl) AS bc FROM g WHERE r <> v GROUP BY v) x USING (id)"
+    ) + "SELECT u.id, floor(coalesce(x.bc, 0) * 1e6 + 0.37) / 1e6 AS bc FROM u LEFT JOIN (SELECT v AS id, sum(dl) AS bc FROM g WHERE r <> v GROUP BY v) x USING (id)"
 
 
 def prefix(graph: str) -> str:
