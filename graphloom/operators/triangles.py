@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.session import checkpoint_measured
+
+BROADCAST_EDGES = 4_000_000  # pairs packed into one long each: about 100 MB
 
 
 def triangles(graph: Graph) -> DataFrame:
@@ -20,10 +23,15 @@ def triangles(graph: Graph) -> DataFrame:
     pairs = pairs.join(degree.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst")
     up = F.col("ns") <= F.col("nd")  # at equal degree the smaller id, src, comes first
     oriented = pairs.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"))
-    oriented = oriented.repartition("u").persist()
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    oriented, seen = checkpoint_measured(oriented, n=F.count(F.lit(1)), least=F.min(low), top=F.max(high))
     wedges = oriented.withColumnRenamed("v", "x").join(oriented.withColumnRenamed("v", "y"), "u").where("x < y")
-    closing = edges.where("src < dst").select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    found = wedges.join(closing, ["x", "y"])
+    closing = oriented.select(low.alias("x"), high.alias("y"))
+    if 0 < seen["n"] <= BROADCAST_EDGES and seen["least"] >= 0 and seen["top"] < 2**31:  # counted; one long a pair keeps the hash table compact
+        pair = F.shiftleft("x", 31).bitwiseOR(F.col("y")).alias("pair")
+        found = wedges.select("u", "x", "y", pair).join(F.broadcast(closing.select(pair)), "pair")
+    else:
+        found = wedges.join(closing, ["x", "y"])
     return found.select(F.least("u", "x").alias("a"), F.greatest(F.least("u", "y"), F.col("x")).alias("b"), F.greatest("u", "y").alias("c"))
 
 
