@@ -1,8 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are words (ASCII letters lower-cased) and one end. The root predicts with add-one counts of the training
-documents: P(x) = (c(x) + 1) / (N + V + 1). A context of one or two words that occurs at least MIN_COUNT times, and in
-MIN_SHARE of the training tokens, is a candidate; it predicts with P(x | s) = (1 - e) n(s x) / N(s) + e P(x | shorter), where e, the share of new successors, is
+documents: P(x) = (c(x) + 1) / (N + V + 1). A context of one or two words that occurs at least MIN_COUNT times, whatever
+the size of the corpus, is a candidate; it predicts with P(x | s) = (1 - e) n(s x) / N(s) + e P(x | shorter), where e, the share of new successors, is
 that of successors seen once, (n_1(s) + 1/2) / (N(s) + 1); it is retained if its
 divergence from the shorter context, summed over the training text with each position left out of its own counts,
 is at least DIVERGENCE nats and the shorter one is retained. A token is scored by its longest retained context.
@@ -39,7 +39,8 @@ from graphloom.llm import text as texts_of
 from graphloom.session import Staging, checkpoint, release
 
 HELD_OUT = (7, 2)
-MIN_COUNT, MIN_SHARE, DIVERGENCE = 24, 3e-6, 3.0  # least occurrences of a context: count, and share of training tokens
+MIN_COUNT, DIVERGENCE = 24, 3.0  # least occurrences of a context: the same at every size of the corpus
+MIN_SHARE = 0.0  # no share of the training tokens is asked for; only tests/llm reads it
 CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
 END = "\n"  # no word holds white space
@@ -145,7 +146,7 @@ class _State:
         starts = np.cumsum(self.lengths) - self.lengths
         self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.lengths)
         self.n, self.v, self.answers, self.sends = n, v, answers, {}
-        self.least = max(MIN_COUNT, math.ceil(MIN_SHARE * n))
+        self.least = MIN_COUNT
         self._grow()
 
     def _ask(self, kind: int, keys: np.ndarray, sums: np.ndarray) -> np.ndarray | None:

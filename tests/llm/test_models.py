@@ -106,6 +106,21 @@ def test_lm_brute(spark, sf_dir, monkeypatch):
         assert np.allclose(got[column].astype(float), want[column].astype(float), rtol=1e-9, atol=1e-8), column
 
 
+@pytest.mark.parametrize("n", [10**4, 4 * 10**9])
+def test_lm_least_count_is_fixed(n):
+    least = lm_scoring.MIN_COUNT
+    packer = lm_scoring._Packer()
+    packer.add(1, False, b"often word rare word")
+    row = packer.batch(0).to_pylist()[0]
+    blank = lm_scoring._State(row, {}, n, 4)
+    of = dict(zip(lm_scoring._hashes([b"often", b"word", b"rare", b"\n"]).tolist(), (least, least, least - 1, least - 1)))
+    words = np.array([of[h] for h in blank.vocab.tolist()], float)
+    state = lm_scoring._State(row, {lm_scoring.WORDS: words}, n, 4)
+    h = lm_scoring._hashes([b"often", b"word", b"rare", b"word", b"\n"])
+    want = np.unique(lm_scoring.combine(h[[0, 1, 3]], h[[1, 2, 4]]))  # of "often" and "word", not of "rare"
+    assert (state.sends[lm_scoring.PAIRS][0] == want).all()
+
+
 def test_lm_edges(spark):
     data = [(1, None), (2, ""), (None, "a b"), (3, "A\tb a"), (3, "A\tb a"), (4, "z " * 60_000)]
     got = lm_scoring.lm_scores(spark.createDataFrame(data, SCHEMA)).collect()
