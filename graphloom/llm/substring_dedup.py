@@ -13,6 +13,9 @@ paragraph) stays and the others are removals.
 Defined results: null and empty texts have no paragraphs; a null doc_id is last in the order of occurrences; fully
 repeated rows are occurrences of their own, of which the first staged is first; paragraphs of fewer words than
 MIN_WORDS are never removed; an empty table gives an empty result; other columns play no part.
+
+The query also has the passages (module passages) that repeat inside longer lines, or where copies break lines
+differently, outside of the removals above. `remove_repeats` removes whole paragraphs only.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import membership
+from graphloom.llm import membership, passages
 from graphloom.llm import text as texts_of
 from graphloom.operators.stars import star_components
 from graphloom.session import Staging, checkpoint, release
@@ -237,5 +240,12 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     return rest.select([F.col(f"`{n}`") for n in names]).unionByName(row.select(back))
 
 
+def repeated_text(docs: DataFrame) -> DataFrame:
+    """The rows of repeated_paragraphs, and those of passages that repeat outside of its removals."""
+    lines = repeated_paragraphs(docs)
+    release(docs.sparkSession)
+    return lines.unionByName(passages.repeated_passages(docs, lines))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))

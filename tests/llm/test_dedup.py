@@ -187,3 +187,42 @@ def test_remove_repeats(spark):
     out = {r.doc_id: r.text for r in P.remove_repeats(docs).collect()}
     assert out == {1: f"a\n{long}\nb", 2: "c", 3: None, 4: "", 5: "short line\nshort line"}
     assert P.repeated_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passages_inside_lines_and_rewrapped(spark):
+    own = lambda tag, n: " ".join(f"{tag}{i}é" for i in range(n))
+    words = [f"Word{i}ö" for i in range(60)]
+    passage, edited = " ".join(words), " ".join([*words[:30], "other", *words[31:]])
+    wrapped = "\n".join(" ".join(words[i : i + 7]) for i in range(0, 60, 7))
+    data = [(1, f"{own('a', 90)} {passage} {own('b', 90)}"), (2, f"{own('c', 3)}\n{own('d', 200)} {passage.lower()} {own('e', 40)}"),
+            (3, f"{own('f', 30)}\n{wrapped}\n{own('g', 5)}"), (4, f"{own('h', 80)} {edited} {own('i', 80)}"),
+            (5, own("j", 300)), (6, own("k", 10)), (7, None), (None, f"{own('l', 80)} {passage}")]
+    texts = dict(data)
+    docs = spark.createDataFrame(data, SCHEMA)
+    assert P.repeated_paragraphs(docs).count() == 0
+    got = P.repeated_text(docs).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, None}
+    low = passage.lower()
+    for r in got:
+        part = " ".join(texts[r.doc_id][r.start : r.end].lower().split())
+        assert part in low and len(part.split()) == r.n_words and r.keep_id == 1 and r.kept == (r.doc_id == 1) and r.keep_paragraph == 0
+        assert r.paragraph == texts[r.doc_id][: r.start].count("\n")
+    covered = Counter()
+    for r in got:
+        covered[r.doc_id] += r.n_words
+    assert all(covered[i] >= 50 for i in (1, 2, 3, None)) and covered[4] >= 40
+    assert P.repeated_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_of_25_words_share_a_choice(seed):
+    from graphloom.llm import passages as W
+
+    rng = np.random.default_rng(seed)
+    run = rng.integers(0, 2**63, W.GRAM + W.WINDOW - 1).astype(np.uint64)
+    keys = []
+    for n in rng.integers(0, 40, 4):
+        h = np.r_[rng.integers(0, 2**63, n).astype(np.uint64), run, rng.integers(0, 2**63, n // 2).astype(np.uint64)]
+        g = W._rolled(h, W.FACTORS[0])
+        keys.append(set(g[W.chosen(g)].tolist()))
+    assert set.intersection(*keys)
