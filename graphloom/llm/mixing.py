@@ -6,7 +6,10 @@ source table, so any number of sources works.
 
 Sampling: a source with target t and size s takes every document floor(t / s) times, and the rest of its target in
 the seeded order of md5(seed:doc_id): documents are taken once more up to the last that fits, then at most `fill`
-documents, each the one that leaves the smallest gap, close it (only the last may pass the target). Documents are always taken whole. Prefix sums are made
+documents, each the one that leaves the smallest gap, close it (only the last may pass the target). A source that this
+leaves more than NEAR mean documents off its target (very long documents end its prefix early) is taken further instead:
+documents that do not fit are set aside, and passes over those of at most half the gap, in the seeded order, halve it
+until no document fits; then one may pass the target if that is nearer. Documents are always taken whole. Prefix sums are made
 in two levels (16^digits hash ranges a source, then one range), so a source with a third of all rows is no task's burden.
 
 Defined results: null text has size 0; null is a source of its own, ordered last; null doc_ids are hashed as ''; rows
@@ -19,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import membership
 from graphloom.session import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +31,8 @@ SHARE = 1.5
 EPOCHS = 2
 SEED = 17
 FILL = 3
+DIGITS = 3  # hash digits of a range
+NEAR = 3  # mean documents of the source; the SQL leaves up to 2.3 on sf0.001 (src19), so less would depart from it there
 BROADCAST_SOURCES = 20_000  # rows of the per-source table (a few hundred bytes each) that may be broadcast
 
 
@@ -59,17 +65,8 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     return src.withColumn("target", F.least(F.col("weight") * level, F.col("size").cast("double") * epochs))
 
 
-def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3) -> DataFrame:
-    """Per source: whole (copies of all), cut_key and cut_id (last taken once more), extra (array of further units).
-
-    units(source, doc_id, key, size): one row per source and doc_id.
-    """
-    size = F.col("source_size").cast("double")
-    t = targets.select(
-        F.col("source").alias("t_source"), F.col("size").alias("source_size"), "target",
-        F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size").cast("double"))).otherwise(0).cast("int").alias("whole"),
-    ).withColumn("rest", F.col("target") - F.col("whole") * size)
-    t = checkpoint(t)
+def _prefix(units: DataFrame, t: DataFrame, digits: int) -> DataFrame:
+    """t(t_source, rest, ...) with where the seeded prefix of each source ends: part, before, and last, its last unit."""
     part = F.substring("key", 1, digits).alias("part")
     parts = units.groupBy("source", part).agg(F.sum("size").alias("size"))
     w = Window.partitionBy("source").orderBy("part")
@@ -87,13 +84,27 @@ def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = inside.where("upto <= rest").groupBy("t_source").agg(F.max(F.struct("key", "doc_id", "upto")).alias("last"))
     last = last.select(F.col("t_source").alias("l_source"), "last")
-    cut = cut.join(last, F.col("t_source").eqNullSafe(F.col("l_source")), "left")
+    return cut.join(last, F.col("t_source").eqNullSafe(F.col("l_source")), "left")
+
+
+def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3) -> DataFrame:
+    """Per source: whole (copies of all), cut_key and cut_id (last taken once more), extra (array of further units).
+
+    units(source, doc_id, key, size): one row per source and doc_id.
+    """
+    size = F.col("source_size").cast("double")
+    t = targets.select(
+        F.col("source").alias("t_source"), F.col("size").alias("source_size"), "target",
+        F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size").cast("double"))).otherwise(0).cast("int").alias("whole"),
+    ).withColumn("rest", F.col("target") - F.col("whole") * size)
+    t = checkpoint(t)
+    cut = _prefix(units, t, digits)
     none = F.expr("cast(array() as array<struct<key:string,doc_id:bigint>>)")
     cut = cut.select(
         "t_source", "source_size", "target", "whole",
         F.coalesce("last.key", "part").alias("cut_key"), F.col("last.doc_id").alias("cut_id"),
         (F.col("rest") - F.coalesce("last.upto", "before")).alias("gap"), none.alias("extra"),
-    )
+    ).withColumn("prefix_gap", F.col("gap"))
     for n in range(fill):
         cut = checkpoint(cut)
         limit = "size <= gap" if n < fill - 1 else "size < 2 * gap"  # only the last may pass the target
@@ -101,7 +112,7 @@ def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3
         best = fits.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "doc_id", "size")).alias("best"))
         best = best.select(F.col("source").alias("b_source"), "best")
         cut = cut.join(best, F.col("t_source").eqNullSafe(F.col("b_source")), "left").select(
-            "t_source", "source_size", "target", "whole", "cut_key", "cut_id",
+            "t_source", "source_size", "target", "whole", "cut_key", "cut_id", "prefix_gap",
             (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
             F.when(F.col("best").isNull(), F.col("extra"))
             .otherwise(F.concat("extra", F.array(F.struct("best.key", "best.doc_id")))).alias("extra"),
@@ -116,13 +127,72 @@ def taken_again() -> Column:
     return prefix | F.array_contains("extra", F.struct("key", "doc_id"))
 
 
+def further(units: DataFrame, cut: DataFrame, digits: int) -> tuple[DataFrame, DataFrame | None]:
+    """(plan, units(m_source, m_id) taken once more beyond the prefix) where sources are far off their targets, else None."""
+    means = units.where("size > 0").groupBy(F.col("source").alias("u_source")).agg(F.avg("size").alias("mean"))
+    far = cut.where("gap <> 0").join(means, F.col("t_source").eqNullSafe(F.col("u_source"))).where(F.abs("gap") > NEAR * F.col("mean"))
+    far = checkpoint(far.select("t_source", F.col("prefix_gap").alias("rest"), F.col("gap").alias("was")))
+    if far.isEmpty():
+        return cut, None
+    same = F.col("source").eqNullSafe(F.col("t_source"))
+    only = F.expr("cast(array() as array<struct<key:string,doc_id:bigint>>)")
+    left = _with_plan(units, cut.withColumn("extra", only)).where("size > 0").where(~taken_again()).select(units.columns)
+    left = checkpoint(left.join(far.select("t_source"), same, "left_semi"))
+    states, took, more = far, [], True
+    while more:  # the gap of a source halves in each round, or no unit of half the gap is left
+        state = states.select("t_source", "rest")
+        fits = checkpoint(left.join(state, same).where("size <= rest"))
+        more = not fits.isEmpty()
+        if more:
+            halves = fits.where("2 * size <= rest").select(units.columns)
+            ends = _prefix(halves, state, digits).select(
+                F.col("t_source").alias("e_source"), F.coalesce("last.key", "part").alias("cut_key"), F.col("last.doc_id").alias("cut_id"), only.alias("extra"),
+            )
+            now = halves.join(ends, F.col("source").eqNullSafe(F.col("e_source"))).where(taken_again()).select(units.columns)
+            some = halves.select(F.col("source").alias("h_source")).distinct()
+            best = fits.join(some, F.col("source").eqNullSafe(F.col("h_source")), "left_anti")  # all are over half the gap: one fits
+        else:
+            best, now = left.join(state, same).where("size < 2 * rest"), None
+        best = best.groupBy("source").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("off"), "key", "doc_id", "size")).alias("best"))
+        best = best.select("source", "best.doc_id", "best.key", "best.size")
+        now = checkpoint(best if now is None else now.unionByName(best))
+        took.append(now)
+        sums = now.groupBy(F.col("source").alias("n_source")).agg(F.sum("size").alias("sum"))
+        states = checkpoint(states.join(sums, F.col("t_source").eqNullSafe(F.col("n_source")), "left").select(
+            "t_source", (F.col("rest") - F.coalesce("sum", F.lit(0))).alias("rest"), "was"))
+        ids = now.select(F.col("source").alias("n_source"), F.col("doc_id").alias("n_id"))
+        left = checkpoint(left.join(ids, F.col("source").eqNullSafe(F.col("n_source")) & F.col("doc_id").eqNullSafe(F.col("n_id")), "left_anti"))
+    better = states.where(F.abs("rest") < F.abs("was")).select(F.col("t_source").alias("b_source"), "rest")
+    better = checkpoint(better)
+    every = took[0]
+    for x in took[1:]:
+        every = every.unionByName(x)
+    every = every.join(better, F.col("source").eqNullSafe(F.col("b_source")), "left_semi")
+    cut = cut.join(better, F.col("t_source").eqNullSafe(F.col("b_source")), "left")
+    on = F.col("rest").isNotNull()
+    cut = cut.withColumn("extra", F.when(on, only).otherwise(F.col("extra"))).withColumn("gap", F.coalesce("rest", "gap")).drop("b_source", "rest")
+    return checkpoint(cut), checkpoint(every.select(F.col("source").alias("m_source"), F.col("doc_id").alias("m_id")))
+
+
+def _copies(rows: DataFrame, cut: DataFrame, more: DataFrame | None) -> DataFrame:
+    """rows(source, doc_id, key, ...) with their plan and copies."""
+    out = _with_plan(rows, cut).withColumn("copies", F.col("whole") + taken_again().cast("int"))
+    if more is None:
+        return out
+    also = F.col("source").eqNullSafe(F.col("m_source")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+    more = more.withColumn("also", F.lit(1))
+    maybe, rest = membership.split(out, F.struct("source", "doc_id"), membership.bitmap(more, F.struct("m_source", "m_id")))
+    maybe = maybe.join(more, also, "left").withColumn("copies", F.col("copies") + F.coalesce("also", F.lit(0)))
+    return maybe.select(out.columns).unionByName(rest)
+
+
 def _with_plan(rows: DataFrame, cut: DataFrame) -> DataFrame:
     small = cut.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     return rows.join(F.broadcast(cut) if small else cut, F.col("source").eqNullSafe(F.col("t_source")))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed=SEED, fill=FILL) -> tuple[DataFrame, DataFrame]:
-    """(per-document narrow rows: doc_id, source, key, size; per-source plan)."""
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed=SEED, fill=FILL) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(per-document narrow rows: doc_id, source, key, size; per-source plan; units of `further`)."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         order_key(F.col("doc_id").cast("long"), seed).alias("key"), word_count(F.col("text")).alias("size"),
@@ -130,27 +200,27 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed=
     rows = checkpoint(rows)
     targets = water_fill(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, share, epochs)
     units = rows.groupBy("source", "doc_id", "key").agg(F.sum("size").alias("size"))
-    digits = 3 if units.count() < 4_000_000_000 else 4
-    return rows, plan(checkpoint(units), targets, fill, digits)
+    units = checkpoint(units)
+    digits = DIGITS if units.count() < 4_000_000_000 else DIGITS + 1
+    return rows, *further(units, plan(units, targets, fill, digits), digits)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, source, copies."""
-    rows, cut = mix_plan(docs, **options)
-    out = _with_plan(rows, cut).withColumn("copies", F.col("whole") + taken_again().cast("int"))
+    out = _copies(*mix_plan(docs, **options))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The mixed rows of docs with all their columns: a document appears as often as it is taken."""
-    _, cut = mix_plan(docs, seed=seed, **options)
+    _, cut, more = mix_plan(docs, seed=seed, **options)
     names = docs.columns
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("source").cast("string").alias("source"),
         doc_id.alias("doc_id"), order_key(doc_id, seed).alias("key"),
     )
-    out = _with_plan(rows, cut).withColumn("copies", F.col("whole") + taken_again().cast("int"))
+    out = _copies(rows, cut, more)
     out = out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     return out.select([F.col(f"row.`{n}`") for n in names])
 

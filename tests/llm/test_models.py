@@ -1,5 +1,6 @@
 """Quality, language model, BPE, HTML and top-k against brute force, round trips and held-out accuracy."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -272,6 +273,20 @@ def test_mixing_edges(spark):
     assert mixing.mixture(docs.limit(0)).count() == 0
 
 
+def test_mixing_beyond_a_very_long_document(spark):
+    keys = {i: hashlib.md5(f"17:{i}".encode()).hexdigest() for i in range(2000)}
+    early = sorted(keys, key=keys.get)[20]  # the long document ends the seeded prefix after twenty
+    data = [(i, "w " * (20_000 if i == early else 10), "a") for i in range(2000)] + [(i, "v " * 10, "b") for i in range(2000, 2100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    options = {"weights": (1, 50), "share": 0.5}
+    out = mixing.mixture(docs, **options).toPandas()
+    a = out[out.source == "a"]
+    assert 9000 < a.target.iloc[0] < 20_000 and abs(a.taken.sum() - a.target.iloc[0]) <= 10
+    assert a.copies[a.doc_id == early].iloc[0] == 0 and a.copies.max() == 1
+    mixed = mixing.mix(docs, **options)
+    assert mixed.columns == docs.columns and mixed.count() == out.copies.sum()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
