@@ -6,10 +6,11 @@ parts. Each round scans every row for its least rank, deletes that boundary and
 rows without a mergeable boundary leave. Words over LONG bytes take the same merges from a heap, so a run of a
 million letters costs n log n. Results of whole runs are remembered in a bounded table.
 
-The tokenizer file is read once on the driver; its arrays (bounded by the vocabulary) are broadcast.
+The tokenizer file is read once on the driver; its tables (bounded by the vocabulary) are broadcast as plain data.
 
 Defined results: null and empty texts give no ids and decode to the empty text; the added token in a text becomes its
-own id; other columns are not touched; an empty table gives an empty result.
+own id; repeated rows repeat their result; other columns are not touched, but those named like a result (ids, decoded)
+are replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,27 +49,34 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def tables(path: str) -> dict:
+    """The tables of a tokenizer file, as plain arrays, lists and dicts."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    stand = _byte_of()
+    vocab = {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    token = [b""] * (max([*vocab.values(), *added.values()]) + 1)
+    for t, i in vocab.items():
+        token[i] = t
+    for t, i in added.items():
+        token[i] = t.encode()
+    made = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
+    made = [[bytes(stand[c] for c in x) for x in pair] for pair in made]
+    key = np.array([vocab[a] << 20 | vocab[b] for a, b in made], dtype=np.int64)
+    order = np.argsort(key)
+    return {
+        "added": added, "token": token, "single": np.array([vocab[bytes([b])] for b in range(256)], dtype=np.int64),
+        "key": key[order], "rank": order.astype(np.int32), "result": np.array([vocab[a + b] for a, b in made], dtype=np.int64),
+    }
+
+
 class Bpe:
-    """The tables of one tokenizer file and the encoder and decoder over them."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        stand = _byte_of()
-        vocab = {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.token = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
-        for t, i in vocab.items():
-            self.token[i] = t
-        for t, i in self.added.items():
-            self.token[i] = t.encode()
-        self.single = np.array([vocab[bytes([b])] for b in range(256)], dtype=np.int64)
-        made = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
-        made = [[bytes(stand[c] for c in x) for x in pair] for pair in made]
-        key = np.array([vocab[a] << 20 | vocab[b] for a, b in made], dtype=np.int64)
-        order = np.argsort(key)
-        self.key, self.rank = key[order], order.astype(np.int32)
-        self.result = np.array([vocab[a + b] for a, b in made], dtype=np.int64)  # by rank
+    """The encoder and decoder over the tables of one tokenizer file; result is by rank."""
+
+    def __init__(self, added: dict, token: list, single: np.ndarray, key: np.ndarray, rank: np.ndarray, result: np.ndarray):
+        self.added, self.token, self.single, self.key, self.rank, self.result = added, token, single, key, rank, result
+        self.pairs: dict[int, int] | None = None  # rank of each key; made when a long word is met
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -125,8 +133,9 @@ class Bpe:
     def merge_long(self, word: bytes) -> bytes:
         """The same merges for one long word: boundaries in a heap by (rank, place), parts in a linked list."""
         part = self.single[np.frombuffer(word, np.uint8)].tolist()
-        pairs = dict(zip(self.key.tolist(), self.rank.tolist())) if not hasattr(self, "_pairs") else self._pairs
-        self._pairs = pairs
+        if self.pairs is None:
+            self.pairs = dict(zip(self.key.tolist(), self.rank.tolist()))
+        pairs = self.pairs
         n = len(part)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := pairs.get(part[i] << 20 | part[i + 1])) is not None]
@@ -186,17 +195,20 @@ class Bpe:
 
 
 def _mapped(df: DataFrame, path: str, source: str, keep: list[str], to: list[tuple[str, str]], work) -> DataFrame:
+    keep = [n for n in keep if n.lower() not in {t.lower() for t, _ in to}]
     src = df.select(*[F.col(f"`{n}`") for n in keep], F.col(f"`{source}`").alias("__in"))
     texts_of.bound_batches(df.sparkSession)
-    model = df.sparkSession.sparkContext.broadcast(Bpe(path))
+    # plain data travels, not an object of this package: workers need neither the file nor the package
+    plain = df.sparkSession.sparkContext.broadcast(tables(path))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
     schema = ", ".join(fields + [f"`{n}` {t}" for n, t in to])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
+        model = Bpe(**plain.value)
         for batch in batches:
             for rows, values in texts_of.slices(batch, "__in"):
-                made = work(model.value, values, known)
+                made = work(model, values, known)
                 arrays = [pa.array(x, type=pa.string() if t == "string" else pa.binary()) for x, (_, t) in zip(made, to)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *arrays], names=[*keep, *[n for n, _ in to]])
 
@@ -204,7 +216,7 @@ def _mapped(df: DataFrame, path: str, source: str, keep: list[str], to: list[tup
 
 
 def encode(df: DataFrame, path: str, source: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all but source, if None) and ids: binary, 32-bit little-endian."""
+    """Columns `keep` (all but source, if None) and ids: binary, 32-bit little-endian. A column named ids is replaced."""
     keep = [n for n in df.columns if n != source] if keep is None else keep
 
     def work(bpe: Bpe, values: list[bytes], known: dict[str, bytes]) -> list[list]:
@@ -214,13 +226,14 @@ def encode(df: DataFrame, path: str, source: str = "text", keep: list[str] | Non
 
 
 def decode(df: DataFrame, path: str, source: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all but source, if None) and decoded (string) of ids made by `encode`."""
+    """Columns `keep` (all but source, if None) and decoded (string) of ids made by `encode`. A column named decoded is
+    replaced."""
     keep = [n for n in df.columns if n != source] if keep is None else keep
     return _mapped(df, path, source, keep, [("decoded", "string")], lambda bpe, values, _: [[bpe.decode(v) for v in values]])
 
 
 def round_trip(df: DataFrame, path: str, source: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`encode` and `decode` in one pass: columns `keep`, ids, decoded."""
+    """`encode` and `decode` in one pass: columns `keep`, ids, decoded (in place of columns of these names)."""
     keep = [n for n in df.columns if n != source] if keep is None else keep
 
     def work(bpe: Bpe, values: list[bytes], known: dict[str, bytes]) -> list[list]:

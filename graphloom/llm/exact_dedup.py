@@ -77,7 +77,8 @@ def _stream_groups(spark: SparkSession, st: Staging, prints: DataFrame, batch_fi
 
 def _collided(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests whose texts are not the same bytes. Reads only texts whose doc_id may be among the hits'."""
-    maybe, _ = membership.split(docs, F.col("doc_id"), membership.bitmap(hits, F.col("doc_id")))
+    bits = membership.bits_for(hits.count())
+    maybe, _ = membership.split(docs, F.col("doc_id"), membership.bitmap(hits, F.col("doc_id"), bits), bits)
     norm = maybe.select(normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
     ends = norm.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     return ends.where("low <> high").select("digest")
@@ -134,11 +135,15 @@ def _by_text(docs: DataFrame, bad: DataFrame, digest: Callable[[Column], Column]
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Only rows whose group has copies are shuffled."""
+    """The rows of docs that stay, with all their columns, of any type. Only rows whose group has copies are shuffled.
+
+    Of rows that share doc_id and text one stays, whichever of them where their other columns differ.
+    """
     names = docs.columns
     made = checkpoint(exact_dedup(docs))
     many = made.where("group_size > 1")
-    maybe, alone = membership.split(docs, F.col("doc_id").cast("long"), membership.bitmap(many, F.col("doc_id")))
+    bits = membership.bits_for(many.count())
+    maybe, alone = membership.split(docs, F.col("doc_id").cast("long"), membership.bitmap(many, F.col("doc_id"), bits), bits)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = maybe.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("long").alias("k_id"),
@@ -148,9 +153,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("s_id"), F.col("text_sha256").alias("k_sha"), F.col("points").alias("k_points")
     )
     kept = keyed.join(stay, ["k_sha", "k_points"]).where(F.col("k_id").eqNullSafe(F.col("s_id")))
-    # fully repeated rows have the same key: one of them stays
-    one = kept.groupBy("k_sha", "k_points").agg(F.min_by("row", "row.text").alias("row"), F.min("row").alias("any"))
-    one = one.select(F.coalesce("row", "any").alias("row"))
+    # repeated rows have the same key: one of them stays. Only texts are ordered, as other columns may be of any type
+    first = F.struct(F.col("row.text").isNull(), F.col("row.text"))
+    one = kept.groupBy("k_sha", "k_points").agg(F.min_by("row", first).alias("row"))
     return alone.select([F.col(f"`{n}`") for n in names]).unionByName(one.select([F.col(f"row.`{n}`") for n in names]))
 
 

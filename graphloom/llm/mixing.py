@@ -12,7 +12,7 @@ documents that do not fit are set aside, and passes over those of at most half t
 until no document fits; then one may pass the target if that is nearer. Documents are always taken whole. Prefix sums are made
 in two levels (16^digits hash ranges a source, then one range), so a source with a third of all rows is no task's burden.
 
-Defined results: null text has size 0; null is a source of its own, ordered last; null doc_ids are hashed as ''; rows
+Defined results: null text has size 0 (a source of such texts only has target 0 and is left out); null is a source of its own, ordered last; null doc_ids are hashed as ''; rows
 that repeat source and doc_id are taken or left together; an empty table gives an empty result; other columns, also
 of clashing names, pass through `mix` untouched.
 """
@@ -101,7 +101,7 @@ def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3
     cut = _prefix(units, t, digits)
     none = F.expr("cast(array() as array<struct<key:string,doc_id:bigint>>)")
     cut = cut.select(
-        "t_source", "source_size", "target", "whole",
+        "t_source", "source_size", "target", "whole", F.col("rest").alias("fraction"),
         F.coalesce("last.key", "part").alias("cut_key"), F.col("last.doc_id").alias("cut_id"),
         (F.col("rest") - F.coalesce("last.upto", "before")).alias("gap"), none.alias("extra"),
     ).withColumn("prefix_gap", F.col("gap"))
@@ -112,7 +112,7 @@ def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3
         best = fits.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "doc_id", "size")).alias("best"))
         best = best.select(F.col("source").alias("b_source"), "best")
         cut = cut.join(best, F.col("t_source").eqNullSafe(F.col("b_source")), "left").select(
-            "t_source", "source_size", "target", "whole", "cut_key", "cut_id", "prefix_gap",
+            "t_source", "source_size", "target", "whole", "fraction", "cut_key", "cut_id", "prefix_gap",
             (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
             F.when(F.col("best").isNull(), F.col("extra"))
             .otherwise(F.concat("extra", F.array(F.struct("best.key", "best.doc_id")))).alias("extra"),
@@ -121,10 +121,11 @@ def plan(units: DataFrame, targets: DataFrame, fill: int = FILL, digits: int = 3
 
 
 def taken_again() -> Column:
-    """Over a row with key, doc_id and its source's plan: is it in the fractional repetition?"""
+    """Over a row with key, doc_id and its source's plan: is it in the fractional repetition? Not even an empty document is
+    in one of nothing, so none has more copies than the maximum of epochs."""
     id_in = F.col("doc_id").isNull() | (F.col("cut_id").isNotNull() & (F.col("doc_id") <= F.col("cut_id")))
     prefix = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.coalesce(id_in, F.lit(False)))
-    return prefix | F.array_contains("extra", F.struct("key", "doc_id"))
+    return (F.col("fraction") > 0) & (prefix | F.array_contains("extra", F.struct("key", "doc_id")))
 
 
 def further(units: DataFrame, cut: DataFrame, digits: int) -> tuple[DataFrame, DataFrame | None]:
@@ -147,6 +148,7 @@ def further(units: DataFrame, cut: DataFrame, digits: int) -> tuple[DataFrame, D
             halves = fits.where("2 * size <= rest").select(units.columns)
             ends = _prefix(halves, state, digits).select(
                 F.col("t_source").alias("e_source"), F.coalesce("last.key", "part").alias("cut_key"), F.col("last.doc_id").alias("cut_id"), only.alias("extra"),
+                F.lit(1.0).alias("fraction"),
             )
             now = halves.join(ends, F.col("source").eqNullSafe(F.col("e_source"))).where(taken_again()).select(units.columns)
             some = halves.select(F.col("source").alias("h_source")).distinct()

@@ -30,7 +30,7 @@ from graphloom.session import checkpoint, release
 GRAM, WINDOW = 20, 6
 FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BITS = 1 << 26  # 8 MB of bitmap
-HIT = "row long, doc_id long, key long, mark long, pos int, start int, `end` int, paragraph int"
+HIT = "row long, doc_id long, print long, key long, mark long, pos int, start int, `end` int, paragraph int"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,10 +69,11 @@ def _spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _runs(docs: DataFrame, places: bool) -> DataFrame:
     """The chosen runs: with their places, or else only the distinct keys of each document."""
     src = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("row"), F.col("row").alias("print"),
     )
     texts_of.bound_batches(docs.sparkSession)
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 4
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 4
     names = [f.split()[0].strip("`") for f in HIT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,7 @@ def _runs(docs: DataFrame, places: bool) -> DataFrame:
                         continue
                     start, end, line = _spans(values[i])
                     mark = _rolled(h, FACTORS[1])[at]
-                    whole = [np.full(len(at), i), np.full(len(at), i), g[at].view(np.int64), mark.view(np.int64), at, start[at], end[at + GRAM - 1], line[at]]
+                    whole = [np.full(len(at), i)] * 3 + [g[at].view(np.int64), mark.view(np.int64), at, start[at], end[at + GRAM - 1], line[at]]
                     for x, y in zip(found, whole):
                         x.append(y)
                 if not found[0]:
@@ -103,14 +104,15 @@ def _runs(docs: DataFrame, places: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(flat[0])], names=["key"])
                     continue
                 of = pa.array(flat[0])
-                head = [rows.column(2).take(of), rows.column(0).take(of)]
-                yield pa.RecordBatch.from_arrays(head + [pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(flat[2:], kinds[2:])], names=names)
+                head = [rows.column(2).take(of), rows.column(0).take(of), rows.column(3).take(of)]
+                yield pa.RecordBatch.from_arrays(head + [pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(flat[3:], kinds[3:])], names=names)
 
     return src.mapInArrow(run, HIT if places else "key long")
 
 
 def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row per passage of docs(doc_id, text) outside of the removals among `lines`, with the columns of `lines`.
+    """One row per passage of docs(doc_id, text, row) outside of the removals among `lines`, with the columns of `lines`
+    but row: a key of each document, in docs and in lines.
 
     paragraph and keep_paragraph are the lines in which the passage and the occurrence that stays start; class_size is
     the number of occurrences of the passage's most frequent run.
@@ -120,9 +122,9 @@ def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     shared = checkpoint(shared)
     release(spark)
     hits, _ = membership.split(_runs(docs, True), F.col("key"), membership.bitmap(shared, F.col("key"), BITS), BITS)
-    gone = lines.where("NOT kept").groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    hits = hits.join(shared, "key", "left_semi").join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
-    hits = hits.where("gone IS NULL OR NOT exists(gone, x -> x.start < end AND x.end > start)").drop("g_id", "gone")
+    gone = lines.where("NOT kept").groupBy(F.col("row").alias("print")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    hits = hits.join(shared, "key", "left_semi").join(gone, "print", "left")
+    hits = hits.where("gone IS NULL OR NOT exists(gone, x -> x.start < end AND x.end > start)").drop("print", "gone")
     hits = checkpoint(hits)
     release(spark)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos", "paragraph")).alias("first")

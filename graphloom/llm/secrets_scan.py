@@ -25,9 +25,9 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-MIN_RUN = 20
+MIN_RUN = 12  # characters; shorter runs hold too little evidence to tell the two models apart
 RUN = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RUN
-THRESHOLD = 10.0
+THRESHOLD = 20.0
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 WIDTH = len(SYMBOLS) + 1  # and 0: start of the string
 SMOOTH = 0.5
@@ -49,11 +49,14 @@ PARTS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(text, secret): seeded random strings over usual alphabets, and identifiers of usual conventions."""
-    rows = spark.range(0, n, 1, 4).withColumn("d", F.sha2(F.concat(F.lit("s"), F.col("id").cast("string")), 512))
+def labelled_samples(spark: SparkSession, n: int = SAMPLES, first: int = 0) -> DataFrame:
+    """(text, secret): seeded random strings over usual alphabets, and identifiers and numbers of usual conventions.
+
+    n of each label; other values of first give other samples, as for held-out ones.
+    """
+    rows = spark.range(first, first + n, 1, 4).withColumn("d", F.sha2(F.concat(F.lit("s"), F.col("id").cast("string")), 512))
     raw = F.base64(F.unhex("d"))
-    length = F.lit(MIN_RUN) + F.pmod(F.col("id") * 7, F.lit(28))
+    length = F.lit(MIN_RUN) + F.pmod(F.col("id") * 7, F.lit(36))
     letters = F.regexp_replace(raw, "[+/=]", "")
     shapes = [raw, letters, letters, F.col("d"), F.upper("d"), F.translate(F.upper("d"), "01", "YZ")]
     random = F.element_at(F.array(*[F.substring(x, F.lit(1), length.cast("int")) for x in shapes]), (F.pmod("id", F.lit(len(shapes))) + 1).cast("int"))
@@ -65,7 +68,11 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
         lambda i: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(PARTS))) + 1).cast("int")),
     )
     camel = F.regexp_replace(F.initcap(F.concat_ws(" ", some)), " ", "")
+    digits = F.translate("d", "abcdef", "271828")
     forms = [
+        F.substring(F.lit(SYMBOLS), F.pmod("id", F.lit(36)).cast("int") + 1, F.lit(26)),
+        F.substring(digits, F.lit(1), (F.pmod(F.col("id") * 5, F.lit(20)) + 8).cast("int")),
+        F.concat_ws("-", F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 4)),
         F.concat_ws("_", some), F.concat_ws("-", some), camel, F.upper(F.concat_ws("_", some)), F.concat_ws("/", some),
         F.concat_ws("", some), F.concat(F.concat_ws("_", some), F.lit("_"), F.pmod(F.xxhash64("id"), F.lit(2030)).cast("string")),
         F.repeat(F.substring(F.lit(SYMBOLS), (F.pmod(F.xxhash64("id"), F.lit(len(SYMBOLS))) + 1).cast("int"), F.lit(1)), 32),

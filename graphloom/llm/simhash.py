@@ -238,7 +238,8 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTAN
     names = docs.columns
     made = checkpoint(simhash_components(docs, width, distance))
     linked = made.where("members > 1")
-    maybe, alone = membership.split(docs, F.col("doc_id").cast("long"), membership.bitmap(linked, F.col("doc_id")))
+    bits = membership.bits_for(linked.count())
+    maybe, alone = membership.split(docs, F.col("doc_id").cast("long"), membership.bitmap(linked, F.col("doc_id"), bits), bits)
     row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")
     maybe = with_fingerprints(maybe.select(row, F.col("text")), "text", width, ["row"])
     root = linked.select("fp", "root").distinct()

@@ -11,7 +11,7 @@ of bounded size. Components of the forests are the classes; of each class the fi
 paragraph) stays and the others are removals.
 
 Defined results: null and empty texts have no paragraphs; a null doc_id is last in the order of occurrences; fully
-repeated rows are occurrences of their own, of which the first staged is first; paragraphs of fewer words than
+repeated rows, and others that share a doc_id, are occurrences of their own, of which the first staged is first; paragraphs of fewer words than
 MIN_WORDS are never removed; an empty table gives an empty result; other columns play no part.
 
 The query also has the passages (module passages) that repeat inside longer lines, or where copies break lines
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import membership, passages
@@ -39,7 +39,7 @@ from graphloom.session import Staging, checkpoint, release
 WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 20
 BANDS, ROWS = 12, 3
 SPLIT = 512
-PACK = 3000  # paragraphs of one call, over many buckets
+PACK = SPLIT  # paragraphs of one call, over many buckets: as many as of one sub-bucket, so that no call stands out
 SEED = 29
 
 _DRAWN = np.random.default_rng(SEED)
@@ -108,8 +108,12 @@ def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _paragraphs(docs: DataFrame, min_words: int, width: int, sets: bool) -> DataFrame:
-    """sets: pid and the sorted set of shingles; else the place of each paragraph, pid and its band keys."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """sets: pid and the sorted set of shingles; else the place of each paragraph, pid and its band keys.
+
+    docs: doc_id, text and, for places, row.
+    """
+    head = [F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row") if sets else F.col("row")]
+    src = docs.select(*head, F.col("text").cast("string").alias("text"))
     texts_of.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +132,11 @@ def _paragraphs(docs: DataFrame, min_words: int, width: int, sets: bool) -> Data
                 keys = bands(hashes, first).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
                 place = [pa.array(x, type=pa.int32()) for x in (found.para, found.start, found.end, found.size)]
-                doc_id = rows.column(0).take(pa.array(found.doc, type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc_id, *place, pid, lists], names=["doc_id", "paragraph", "start", "end", "n_words", "pid", "bands"])
+                of = pa.array(found.doc, type=pa.int64())
+                head = [rows.column(0).take(of), rows.column(1).take(of)]
+                yield pa.RecordBatch.from_arrays([*head, *place, pid, lists], names=["doc_id", "row", "paragraph", "start", "end", "n_words", "pid", "bands"])
 
-    schema = "pid binary, shingles binary" if sets else "doc_id long, paragraph int, start int, `end` int, n_words int, pid binary, bands array<long>"
+    schema = "pid binary, shingles binary" if sets else "doc_id long, row long, paragraph int, start int, `end` int, n_words int, pid binary, bands array<long>"
     return src.mapInArrow(run, schema)
 
 
@@ -195,14 +200,8 @@ def _links(docs: DataFrame, places: DataFrame, distinct: DataFrame, min_words: i
     return m.groupBy("pack").applyInPandas(lambda rows: _forest(rows, threshold), "u binary, v binary")
 
 
-def repeated_paragraphs(
-    docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, threshold: float = THRESHOLD, split: int = SPLIT
-) -> DataFrame:
-    """One row per paragraph of docs(doc_id, text) that has a copy or near copy:
-
-    doc_id, paragraph (line number from 0), start, end (code points, end exclusive), n_words, keep_id and keep_paragraph
-    (the occurrence that stays: they name the class), class_size (occurrences), kept.
-    """
+def _repeated(docs: DataFrame, min_words: int, width: int, threshold: float, split: int) -> DataFrame:
+    """repeated_paragraphs of docs(doc_id, text, row), with the row of each."""
     with Staging(docs.sparkSession, "substring") as st:
         made = _paragraphs(docs, min_words, width, False).withColumn("at", F.monotonically_increasing_id())
         made = st.write(made, "paragraphs")
@@ -218,33 +217,58 @@ def repeated_paragraphs(
         named = checkpoint(rooted.select("pid", "root").join(checkpoint(classes), "root").drop("root"))
         out = places.join(named, "pid").select(
             "doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_id"),
-            F.col("keep.paragraph").alias("keep_paragraph"), "class_size", (F.col("at") == F.col("keep.at")).alias("kept"),
+            F.col("keep.paragraph").alias("keep_paragraph"), "class_size", (F.col("at") == F.col("keep.at")).alias("kept"), "row",
         )
         return checkpoint(out)
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+def print_of(docs: DataFrame) -> Column:
+    """A key of a row made of its doc_id and text, so that rows which share a doc_id only are told apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def repeated_paragraphs(
+    docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, threshold: float = THRESHOLD, split: int = SPLIT
+) -> DataFrame:
+    """One row per paragraph of docs(doc_id, text) that has a copy or near copy:
+
+    doc_id, paragraph (line number from 0), start, end (code points, end exclusive), n_words, keep_id and keep_paragraph
+    (the occurrence that stays: they name the class), class_size (occurrences), kept.
+    """
+    keyed = docs.select("doc_id", "text", F.lit(0).cast("long").alias("row"))
+    return _repeated(keyed, min_words, width, threshold, split).drop("row")
+
+
+def remove_repeats(
+    docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, threshold: float = THRESHOLD, split: int = SPLIT
+) -> DataFrame:
     """docs with the removals cut out of their texts; other columns as they are. Rows without one are not shuffled.
 
-    Removals go by doc_id and line, so rows that share a doc_id lose the same lines.
+    The rows are staged once with a locator each, and removals go by locator and line: rows that share a doc_id, or are
+    the same throughout, each lose their own removals only.
     """
-    gone = repeated_paragraphs(docs, **options).where("NOT kept").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
-    gone = checkpoint(gone)
-    names = docs.columns
-    key = F.col("doc_id").cast("long")
-    maybe, rest = membership.split(docs, key, membership.bitmap(gone, F.col("doc_id")))
-    row = maybe.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), key.alias("key"))
-    row = row.join(gone, F.col("key").eqNullSafe(F.col("doc_id")), "left")
-    lines = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    back = [F.col(f"row.`{n}`") if n != "text" else F.array_join(lines, "\n").alias("text") for n in names]
-    return rest.select([F.col(f"`{n}`") for n in names]).unionByName(row.select(back))
+    with Staging(docs.sparkSession, "rows") as st:
+        names = docs.columns
+        back = [F.col(f"`{n}`") for n in names]
+        whole = docs.select(F.struct(*back).alias("row"), F.monotonically_increasing_id().alias("locator"))
+        whole = st.write(whole, "whole")
+        keyed = whole.select("row.doc_id", "row.text", F.col("locator").alias("row"))
+        gone = _repeated(keyed, min_words, width, threshold, split).where("NOT kept")
+        gone = checkpoint(gone.groupBy(F.col("row").alias("g_row")).agg(F.collect_set("paragraph").alias("gone")))
+        bits = membership.bits_for(gone.count())
+        maybe, rest = membership.split(whole, F.col("locator"), membership.bitmap(gone, F.col("g_row"), bits), bits)
+        maybe = maybe.join(gone, F.col("locator") == F.col("g_row"), "left")
+        lines = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+        cut = [F.col(f"row.`{n}`") if n != "text" else F.array_join(lines, "\n").alias("text") for n in names]
+        return checkpoint(rest.select([F.col(f"row.`{n}`") for n in names]).unionByName(maybe.select(cut)))
 
 
 def repeated_text(docs: DataFrame) -> DataFrame:
     """The rows of repeated_paragraphs, and those of passages that repeat outside of its removals."""
-    lines = repeated_paragraphs(docs)
+    keyed = docs.select("doc_id", "text", print_of(docs).alias("row"))
+    lines = _repeated(keyed, MIN_WORDS, WIDTH, THRESHOLD, SPLIT)
     release(docs.sparkSession)
-    return lines.unionByName(passages.repeated_passages(docs, lines))
+    return lines.drop("row").unionByName(passages.repeated_passages(keyed, lines))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

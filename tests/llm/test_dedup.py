@@ -72,6 +72,54 @@ def test_drop_copies(spark, sf_dir):
     assert E.drop_copies(odd).count() == 4 and E.drop_copies(odd).columns == odd.columns
 
 
+CLASH = "b p bm_h bm_at bm_bucket bm_hit bm_map row key gone locator at".split()
+
+
+def clashing(spark, data):
+    """data with columns named like what the operators use on the way, and a map."""
+    extra = [f"concat('{n}', coalesce(text, '')) as `{n}`" for n in CLASH]
+    return spark.createDataFrame(data, SCHEMA).selectExpr("*", *extra, "map('k', doc_id) as m")
+
+
+def unharmed(frame):
+    got = frame.collect()
+    assert frame.columns == ["doc_id", "text", *CLASH, "m"]
+    assert all(r[n] == n + (r.text or "") and r.m == {"k": r.doc_id} for r in got for n in CLASH)
+    return got
+
+
+def test_split_keeps_clashing_columns(spark):
+    from graphloom.llm import membership
+
+    frame = clashing(spark, [(i, f"t{i}") for i in range(200)])
+    keys = spark.range(0, 200, 7).select(F.col("id").alias("doc_id"))
+    for bits in (membership.BITS, membership.bits_for(29)):
+        maybe, rest = membership.split(frame, F.col("doc_id"), membership.bitmap(keys, F.col("doc_id"), bits), bits)
+        a, b = unharmed(maybe), unharmed(rest)
+        assert len(a) + len(b) == 200 and {r.doc_id for r in a} >= set(range(0, 200, 7)) and len(a) < 40
+    assert membership.bits_for(0) == membership.LEAST_BITS and membership.bits_for(10**12) == membership.MOST_BITS
+
+
+def test_stages_keep_clashing_columns(spark):
+    assert {r.doc_id for r in unharmed(E.drop_copies(clashing(spark, EDGE)))} >= {3, 6, 8, 9}
+    assert {r.doc_id for r in unharmed(H.drop_near_copies(clashing(spark, EDGE)))} == {1, 4, 5, 7}
+    long = " ".join(f"w{i}" for i in range(40))
+    out = P.remove_repeats(clashing(spark, [(1, long), (2, f"{long}\nx"), (3, "y"), (4, None)]))
+    assert out.columns == ["doc_id", "text", *CLASH, "m"]
+    assert {r.doc_id: (r.text, r.b) for r in out.collect()} == {1: (long, "b" + long), 2: ("x", f"b{long}\nx"), 3: ("y", "by"), 4: (None, "b")}
+
+
+def test_remove_repeats_shared_ids(spark):
+    """Rows that share a doc_id, or are the same throughout, lose their own removals only; one occurrence of all stays."""
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    data = [(1, f"x\n{one}"), (2, f"own text of two\n{two}"), (2, one), (2, one), (None, one), (None, two), (3, "z " * 300_000)]
+    out = Counter((r.doc_id, r.text) for r in P.remove_repeats(spark.createDataFrame(data, SCHEMA)).collect())
+    assert out == {(1, f"x\n{one}"): 1, (2, f"own text of two\n{two}"): 1, (2, ""): 2, (None, ""): 2, (3, "z " * 300_000): 1}
+    assert P.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+    got = P.repeated_paragraphs(spark.createDataFrame(data, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.kept) for r in got) == {(1, True): 1, (2, True): 1, (2, False): 2, (None, False): 2}
+
+
 def slow_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)

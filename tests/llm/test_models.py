@@ -139,7 +139,7 @@ def test_packing():
 
 @pytest.fixture(scope="module")
 def coder():
-    return bpe.Bpe(bpe.vocabulary())
+    return bpe.Bpe(**bpe.tables(bpe.vocabulary()))
 
 
 def test_bpe_library(coder, sf_dir):
@@ -166,12 +166,65 @@ def test_bpe_long_equals_short(coder):
 
 def test_bpe_operator(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "héllo <|endoftext|> wörld", 7), (None, "x", 8)], "doc_id long, text string, ids long")
-    enc = bpe.encode(df.drop("ids"), bpe.vocabulary())
+    assert bpe.encode(df, bpe.vocabulary()).columns == ["doc_id", "ids"] and bpe.round_trip(df, bpe.vocabulary()).columns == ["doc_id", "ids", "decoded"]
+    twice = [r.ids for r in bpe.encode(df.union(df), bpe.vocabulary()).where("doc_id = 3").collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    enc = bpe.encode(df, bpe.vocabulary())
     back = {r.doc_id: r.decoded for r in bpe.decode(enc, bpe.vocabulary()).collect()}
     assert back == {1: "", 2: "", 3: "héllo <|endoftext|> wörld", None: "x"}
     assert bpe.digests(bpe.round_trip(df.limit(0), bpe.vocabulary(), keep=["doc_id"])).count() == 0
 
 
+def test_bpe_query_digests(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary())
+    t.no_truncation(), t.no_padding()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = bpe.op6_bpe(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+OFF_PATH = """
+import os, sys
+repo, sf = sys.argv[1:]
+sys.path.insert(0, repo)  # of the driver only
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", os.getcwd() + "/shared").getOrCreate()
+import __spark_entry__ as e
+def there(batches):
+    import importlib.util
+    for b in batches:
+        yield b
+        assert importlib.util.find_spec("graphloom") is None
+assert spark.range(4).mapInArrow(there, "id long").count() == 4
+q = e.queries()
+docs = spark.read.parquet(sf + "/documents.parquet").count()
+for name in "op2_quality op3_substring_dedup op4_topk op6_bpe op8_html_extraction op9_lm_scoring op10_simhash".split():
+    assert q[name](spark, sf).count() > 0, name
+import corpus_pipeline as c
+assert c.run(spark, sf).count() > 0
+print("fine", docs)
+"""
+
+
+def test_workers_without_the_package(sf_dir, tmp_path):
+    """Python workers that can't import this package run every operator's Python code."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    (tmp_path / "job.py").write_text(OFF_PATH)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "job.py", repo, sf_dir], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "fine" in done.stdout, done.stderr[-3000:]
+
+
 @pytest.fixture(scope="module")
 def field():
     return html_extraction.train(labelled_pages(html_extraction.PAGES, html_extraction.SEED))
@@ -273,6 +326,16 @@ def test_mixing_edges(spark):
     assert mixing.mixture(docs.limit(0)).count() == 0
 
 
+def test_mixing_empties_and_long_texts(spark):
+    """No document has more copies than epochs, empty ones in a source at its maximum included."""
+    data = [(i, "" if i % 2 else "w " * 5, "small") for i in range(40)] + [(100 + i, "v " * 9, "big") for i in range(400)]
+    data += [(900 + i, None, "nothing") for i in range(5)] + [(1000, "u " * 300_000, "vast")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mixing.mixture(docs, weights=(1, 1, 50, 1)).toPandas()
+    assert out.copies.max() <= 2 and (out.copies[out.source == "small"] == 2).all() and (out.copies[out.source == "nothing"] == 0).all()
+    assert mixing.mix(docs, weights=(1, 1, 50, 1)).count() == out.copies.sum()
+
+
 def test_mixing_beyond_a_very_long_document(spark):
     keys = {i: hashlib.md5(f"17:{i}".encode()).hexdigest() for i in range(2000)}
     early = sorted(keys, key=keys.get)[20]  # the long document ends the seeded prefix after twenty
