@@ -6,6 +6,9 @@ links, punctuation, marks); the field has two labels, is trained by gradient asc
 labelled pages of many layouts, and decoded by Viterbi over the page's blocks. Scripts, styles, templates, comments and
 everything else that is not text never become blocks.
 
+Reading is linear in the page, however deep it nests or badly it closes: an open element carries what features need of
+all its ancestors (made from its parent's when it opens), and the open elements of each tag are kept by place.
+
 Defined results: null or empty html gives the empty text; character references are decoded once; br is white space
 inside its block; a tag cut off by the end of the page is dropped; repeated rows repeat their result; an empty table
 gives an empty result; other columns, also of clashing names, pass through `extract`.
@@ -15,8 +18,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,6 @@ from pyspark.sql import functions as F
 from graphloom.llm import text as texts_of
 from graphloom.llm.html_pages import MARK, labelled_pages
 
-INNERMOST = 64  # ancestors of a block that features see
 PAGES, SEED, STEPS, RIDGE, RATE = 600, 11, 250, 0.0005, 0.2
 
 # Element kinds.
@@ -36,8 +40,8 @@ BLOCKS = frozenset(
     "search section select summary table tbody td tfoot th thead tr ul ins label".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title head object canvas audio video".split())
-INNER_RAW = RAW - {"head"}
+RAW = frozenset("script style template iframe svg textarea title object canvas audio video".split())
+MARKED = ("button", "label", "a", "address", "select", "option", "dialog", "noscript")
 SECTIONS = ("nav", "header", "footer", "aside", "article", "main", "section", "form", "dialog", "table", "ul", "ol", "blockquote", "figure")
 CLOSES = {  # an opening tag -> open tags it closes
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -63,10 +67,80 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+class Path(NamedTuple):
+    """What features see of an element and all its ancestors."""
+
+    depth: int = 0  # 6 is any number from 6 on
+    tag: str = ""
+    leaf: str = "none"  # the innermost block-level tag
+    near: str = "none"  # the innermost section
+    sections: frozenset[str] = frozenset()
+    names: frozenset[str] = frozenset()
+    last_name: str = "none"
+    marked: frozenset[str] = frozenset()  # of MARKED
+    inside: int = 0  # 1: a header, 2: an article or main, 3: both, 4 more: a heading of the first level
+
+    def child(self, tag: str, hints: frozenset[str]) -> "Path":
+        section = tag in SECTIONS
+        return Path(
+            min(6, self.depth + 1), tag, tag if tag in BLOCKS else self.leaf, tag if section else self.near,
+            self.sections | {tag} if section else self.sections, self.names | hints if hints else self.names,
+            max(hints) if hints else self.last_name, self.marked | {tag} if tag in MARKED else self.marked,
+            self.inside | {"header": 1, "article": 2, "main": 2, "h1": 4}.get(tag, 0),
+        )
+
+    def features(self) -> list[str]:
+        out = [f"leaf={self.leaf}", f"near={self.near}", f"leaf={self.leaf},near={self.near}", f"depth={self.depth}"]
+        out += [f"in={t}" for t in self.sections] + [f"name={k}" for k in self.names]
+        out += [f"last_name={self.last_name}", f"parent={self.tag}"] + [f"has={t}" for t in self.marked]
+        return out + (["header_inside"] if self.inside & 3 == 3 else [])
+
+
+class _Open:
+    """The open elements: their paths by place, the places of each tag, and the innermost paragraph that a block ends."""
+
+    def __init__(self) -> None:
+        self.paths, self.tags, self.paragraph = [Path()], [""], [-1]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.bounds: list[int] = []
+
+    def push(self, tag: str, hints: frozenset[str]) -> None:
+        at = len(self.tags)
+        self.paths.append(self.paths[-1].child(tag, hints))
+        self.paragraph.append(at if tag == "p" else -1 if tag in BLOCKS else self.paragraph[-1])
+        self.tags.append(tag)
+        self.places[tag].append(at)
+        if tag in BOUND:
+            self.bounds.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all in it."""
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in BOUND:
+                self.bounds.pop()
+        del self.paths[at:], self.paragraph[at:]
+
+    def close(self, tag: str) -> None:
+        if self.places[tag]:
+            self.cut(self.places[tag][-1])
+
+    def make_room(self, tag: str) -> None:
+        """Closes what an opening tag ends: a paragraph before a block, items and cells before their likes."""
+        if tag in BLOCKS and self.paragraph[-1] > 0:
+            self.cut(self.paragraph[-1])
+        if tag in CLOSES:
+            bound = self.bounds[-1] if self.bounds else 0
+            some = [p[k] for t in CLOSES[tag] if (p := self.places[t]) and (k := bisect_right(p, bound)) < len(p)]
+            if some:
+                self.cut(min(some))
+
+
 class Block:
     __slots__ = ("path", "parts", "links")
 
-    def __init__(self, path: tuple):
+    def __init__(self, path: Path):
         self.path, self.parts, self.links = path, [], 0
 
 
@@ -77,21 +151,20 @@ def _hints(attributes: str) -> frozenset[str]:
 
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in page order, each with at least one character that is not white space."""
-    stack: list[tuple[str, frozenset[str]]] = []
-    found: list[Block] = []
+    opened, found, endless = _Open(), [], set()
     block: Block | None = None
-    anchors, at, size = 0, 0, len(page)
+    at, size = 0, len(page)
     while at <= size:
         m = TAG.search(page, at)
         piece = page[at : m.start() if m else size]
         if piece:
             if block is None and not piece.isspace():
-                block = Block(tuple(stack[-INNERMOST:]))
+                block = Block(opened.paths[-1])
                 found.append(block)
             if block is not None:
                 plain = html.unescape(piece) if "&" in piece else piece
                 block.parts.append(plain)
-                if anchors:
+                if opened.places["a"]:
                     block.links += len(plain)
         if m is None:
             break
@@ -100,10 +173,12 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closing = m[1] or m[4]
-        if not closing and tag in INNER_RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag != "title" and end is None and tag not in ("script", "style"):
-                continue
+        if not closing and tag in RAW:
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)  # nor is there one further on
+                if tag not in ("title", "script", "style"):
+                    continue
             at = end.end() if end else size
             continue
         if tag in BLOCKS:
@@ -111,28 +186,10 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag == "br" and block is not None:
             block.parts.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            anchors = sum(t == "a" for t, _ in stack)
+            opened.close(tag)
         elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
-            if tag in BLOCKS:
-                for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                elif stack[i][0] in BOUND:
-                    break
-            if tag == "a":
-                anchors += 1
-            stack.append((tag, _hints(m[3] or m[6] or "")))
-            anchors = sum(t == "a" for t, _ in stack) if anchors else 0
+            opened.make_room(tag)
+            opened.push(tag, _hints(m[3] or m[6] or ""))
     return [b for b in found if any(not p.isspace() for p in b.parts)]
 
 
@@ -140,39 +197,23 @@ def block_text(block: Block) -> str:
     return " ".join("".join(block.parts).split())
 
 
-@lru_cache(maxsize=4096)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    tags = [t for t, _ in path]
-    leaf = next((t for t in reversed(tags) if t in BLOCKS), "none")
-    sections = [t for t in tags if t in SECTIONS]
-    near = sections[-1] if sections else "none"
-    hints = [k for _, h in path for k in sorted(h)]
-    out = [f"leaf={leaf}", f"near={near}", f"leaf={leaf},near={near}", f"depth={min(6, len(tags))}"]
-    out += [f"in={t}" for t in sorted(set(sections))] + [f"name={k}" for k in sorted(set(hints))]
-    out.append(f"last_name={hints[-1] if hints else 'none'}")
-    out += [f"parent={t}" for t in tags[-1:]]
-    out += [f"has={t}" for t in ("button", "label", "a", "address", "select", "option", "dialog") if t in tags]
-    if "header" in tags and ("article" in tags or "main" in tags):
-        out.append("header_inside")
-    return tuple(out)
-
-
 def _band(x: float, edges: tuple) -> int:
     return sum(x > e for e in edges)
 
 
 def features(blocks: list[Block], texts: list[str]) -> list[list[str]]:
-    out = []
+    out, paths = [], {}
     seen_title = False
     for b, t in zip(blocks, texts):
         n, words = len(t), t.count(" ") + 1
         links = _band(b.links / max(1, n), (0.0, 0.3, 0.7))
         size = _band(words, (2, 5, 10, 20, 50, 120))
-        some = list(_path_features(b.path))
-        some += ["bias", f"words={size}", f"links={links}", f"words={size},links={links}",
+        if b.path not in paths:
+            paths[b.path] = b.path.features()
+        some = paths[b.path] + ["bias", f"words={size}", f"links={links}", f"words={size},links={links}",
                  f"end={t[-1:] in '.!?'}", f"sentences={_band(sum(map(t.count, '.!?')), (0, 1, 3))}",
                  f"mark={'©' in t or '|' in t or '·' in t}", f"titled={seen_title}"]
-        seen_title = seen_title or any(x[0] == "h1" for x in b.path)
+        seen_title = seen_title or b.path.inside & 4 > 0
         out.append(some)
     return out
 
@@ -214,7 +255,7 @@ def train(pages: list[str], steps: int = STEPS) -> Field:
         for b in blocks:
             b.parts = [p.replace(MARK, "") for p in b.parts]
         rows.append(features(blocks, [t.replace(MARK, "").strip() for t in texts]))
-    keep = [i for i, r in enumerate(rows) if r]
+    keep = sorted((i for i, r in enumerate(rows) if r), key=lambda i: -len(rows[i]))  # the longest first
     rows, gold = [rows[i] for i in keep], [gold[i] for i in keep]
     names = {f: i for i, f in enumerate(sorted({f for r in rows for b in r for f in b}))}
     n, longest = len(rows), max(map(len, rows))
@@ -227,22 +268,23 @@ def train(pages: list[str], steps: int = STEPS) -> Field:
     w, pair = np.zeros(len(names)), np.zeros((2, 2))
     memory = [np.zeros(len(names)), np.zeros((2, 2))]
     joint = real[:, 1:]
+    going, last = real.sum(axis=0), (np.arange(n), real.sum(axis=1) - 1)
     wanted_pair = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & joint).sum() for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(steps):
         score = np.stack([np.zeros((n, longest)), np.bincount(slot, w[feat], n * longest).reshape(n, longest)], axis=2)
         forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         forward[:, 0] = score[:, 0]
         for k in range(1, longest):
-            step = np.logaddexp.reduce(forward[:, k - 1, :, None] + pair, axis=1) + score[:, k]
-            forward[:, k] = np.where(real[:, k, None], step, forward[:, k - 1])
+            some = slice(0, going[k])
+            forward[some, k] = np.logaddexp.reduce(forward[some, k - 1, :, None] + pair, axis=1) + score[some, k]
         for k in range(longest - 2, -1, -1):
-            step = np.logaddexp.reduce(pair + (score[:, k + 1] + backward[:, k + 1])[:, None, :], axis=2)
-            backward[:, k] = np.where(real[:, k + 1, None], step, backward[:, k + 1])
-        total = np.logaddexp.reduce(forward[:, -1], axis=1)
-        one = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None]) * real
+            some = slice(0, going[k + 1])
+            backward[some, k] = np.logaddexp.reduce(pair + (score[some, k + 1] + backward[some, k + 1])[:, None, :], axis=2)
+        total = np.logaddexp.reduce(forward[last], axis=1)
+        one = np.exp(np.where(real, forward[:, :, 1] + backward[:, :, 1] - total[:, None], -np.inf))
         grad = np.bincount(feat, ((y - one) * real).ravel()[slot], len(names)) / n - RIDGE * w
         both = forward[:, :-1, :, None] + pair + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        grad_pair = (wanted_pair - (np.exp(both) * joint[:, :, None, None]).sum(axis=(0, 1))) / n - RIDGE * pair
+        grad_pair = (wanted_pair - np.exp(both[joint]).sum(axis=0)) / n - RIDGE * pair
         for value, g, m in ((w, grad, memory[0]), (pair, grad_pair, memory[1])):
             m += g * g
             value += RATE * g / (np.sqrt(m) + 1e-8)

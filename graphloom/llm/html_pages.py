@@ -59,7 +59,15 @@ class _Page:
         return "<p>" + " ".join(some) + "</p>"
 
     def menu(self) -> str:
-        return self.wrap(self.r.choice(MENUS), self.links())
+        said = self.said()
+        return self.wrap(self.r.choice(MENUS), self.r.choice([self.links(), self.links(), self.links() + said, said + self.links(), said]))
+
+    def said(self) -> str:
+        """Prose that is not main text."""
+        return self.r.choice([f"<p>{self.prose(1, 6)}</p>", f"<p>{self.prose(1, 5)}</p>" * 2, f"<div>{self.prose(1, 4)}</div>", self.prose(1, 4)])
+
+    def unscripted(self) -> str:
+        return f"<noscript>{self.r.choice([self.prose(1, 2), f'<p>{self.prose(1, 2)}</p>'])}</noscript>"
 
     def head(self) -> str:
         name = f"<{(t := self.r.choice(['div', 'p', 'h1', 'h2', 'span']))}>{' '.join(self.words(1, 4))}</{t}>"
@@ -87,7 +95,9 @@ class _Page:
     def form(self) -> str:
         r = self.r
         field = lambda: f"<label>{' '.join(self.words(1, 3))}</label><input name=q>"
-        body = r.choice(["", f"<p>{self.prose(1, 2)}</p>", f"<h3>{self.sentence(1, 4)}</h3>"]) + "".join(field() for _ in range(r.randint(1, 3)))
+        if r.random() < 0.25:
+            return self.wrap(r.choice(FORMS), self.said())
+        body = r.choice(["", self.said(), f"<p>{self.prose(1, 2)}</p>", f"<h3>{self.sentence(1, 4)}</h3>", f"<h3>{self.sentence(1, 4)}</h3>{self.said()}"]) + "".join(field() for _ in range(r.randint(1, 3)))
         pick = "<select>" + "".join(f"<option>{self.words(1, 1)[0]}</option>" for _ in range(3)) + "</select>"
         return self.wrap(r.choice(FORMS), body + r.choice(["", pick]) + f"<button>{self.words(1, 1)[0]}</button>")
 
@@ -121,6 +131,8 @@ class _Page:
                 out.append(f"<{t}>" + "".join(f"<li>{MARK}{self.sentence(2, 12)}</li>" for _ in range(r.randint(1, 6))) + f"</{t}>")
             elif kind < 0.9:
                 out.append(f"<blockquote>{MARK}{self.prose(1, 3)}</blockquote>")
+            elif kind < 0.91:
+                out.append(f"<noscript><p>{MARK}{self.prose(1, 3)}</p></noscript>")
             elif kind < 0.93:
                 out.append(f"<pre>{MARK}{self.prose(1, 2)}</pre>")
             elif kind < 0.97:
@@ -138,7 +150,7 @@ class _Page:
         r = self.r
         some = lambda makers, p: "".join(m() for m in makers if r.random() < p)
         head = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>"
-        before = [self.menu, self.head, self.ad, self.notice, self.form, self.side]
+        before = [self.menu, self.head, self.ad, self.notice, self.form, self.side, self.unscripted]
         after = [self.side, self.ad, self.comments, self.form, self.menu, self.foot, self.notice]
         r.shuffle(before)
         main = self.main()

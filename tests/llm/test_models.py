@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -362,3 +363,76 @@ def test_pipeline_stages(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         counts.append(docs.count())
     assert 1000 > counts[0] > counts[1] >= counts[2] and counts[3] > counts[2]
+
+
+PROSE = [
+    "Some prose of a kind that articles have, with commas and full stops. It goes on for a while, as prose does.",
+    "Another line of prose here, which is rather long and has many words in it, so that it looks like text. And more.",
+]
+ARTICLE = f"<article><h1>A title of it</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p></article>"
+
+
+@pytest.mark.parametrize("tag", ["nav", "form", "header", "footer", "aside"])
+def test_html_prose_outside_the_article(field, tag):
+    want = "\n".join(["A title of it", *PROSE])
+    for inner in (f"<p>{PROSE[0]}</p>", f"<p>{PROSE[0]}</p><p>{PROSE[1]}</p>"):
+        deep = "<div>" * 70
+        for part in (f"<{tag}>{inner}</{tag}>", f"<{tag}>{deep}{inner}</{tag}>"):
+            assert html_extraction.main_text(f"<body>{part}{ARTICLE}", field) == want
+            assert html_extraction.main_text(f"<body>{ARTICLE}{part}</body>", field) == want
+
+
+def test_html_math_and_noscript_stay(field):
+    page = f"<article><h1>It</h1><p>Text with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> in it, and more.</p><noscript><p>{PROSE[0]}</p></noscript></article>"
+    assert html_extraction.main_text(page, field) == f"It\nText with x=2 in it, and more.\n{PROSE[0]}"
+
+
+def test_html_deep_pages_are_linear(field):
+    import time
+
+    n = 100_000
+    shapes = ["<div>" * n + "x", "<div>" * n + "</b></i>" * n + "x", "<b>" * n + "<div></div>" * n, "<div>" * n + "<td>x" * n, "<svg>" * n, "<a>" * n, "<a x='>" * n]
+    for page in shapes:
+        began = time.process_time()
+        html_extraction.leaf_blocks(page)
+        assert time.process_time() - began < 15  # quadratic reading takes minutes
+    assert html_extraction.main_text("<div>" * n + f"<footer><p>{PROSE[0]}</p></footer>{ARTICLE}", field) == "\n".join(["A title of it", *PROSE])
+    long = "word " * 400_000
+    assert html_extraction.main_text(f"<article><p>{long}</p></article>", field) == long.strip()
+
+
+class _Reader(HTMLParser):
+    """An independent reading of a page's article with the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("a", "b", "i", "em", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag not in ("a", "b", "i", "em", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_html_query_on_the_whole_table(spark, sf_dir):
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet")
+    got = html_extraction.op8_html_extraction(spark, sf_dir).toPandas().set_index("page_id")
+    assert len(got) == len(pages) and list(got.columns) == ["url", "text", "n_chars"]
+    for page_id, url, page in zip(pages.page_id, pages.url, pages.html):
+        reader = _Reader()
+        reader.feed(page)
+        want = "\n".join(t for t in (" ".join(b.split()) for b in reader.blocks) if t)
+        assert tuple(got.loc[page_id]) == (url, want, len(want))
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extraction.extract(empty, html_extraction.Field({}, np.zeros((2, 2)))).count() == 0
