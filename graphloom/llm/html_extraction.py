@@ -91,8 +91,8 @@ class Path(NamedTuple):
 
     def features(self) -> list[str]:
         out = [f"leaf={self.leaf}", f"near={self.near}", f"leaf={self.leaf},near={self.near}", f"depth={self.depth}"]
-        out += [f"in={t}" for t in self.sections] + [f"name={k}" for k in self.names]
-        out += [f"last_name={self.last_name}", f"parent={self.tag}"] + [f"has={t}" for t in self.marked]
+        out += [f"in={t}" for t in sorted(self.sections)] + [f"name={k}" for k in sorted(self.names)]
+        out += [f"last_name={self.last_name}", f"parent={self.tag}"] + [f"has={t}" for t in sorted(self.marked)]
         return out + (["header_inside"] if self.inside & 3 == 3 else [])
 
 
@@ -263,15 +263,20 @@ def train(pages: list[str], steps: int = STEPS) -> Field:
     y = np.zeros((n, longest), int)
     for i, g in enumerate(gold):
         real[i, : len(g)], y[i, : len(g)] = True, g
-    slot = np.array([i * longest + k for i, r in enumerate(rows) for k, b in enumerate(r) for _ in b])
-    feat = np.array([names[f] for r in rows for b in r for f in b])
+    # blocks of the same features are one kind; weights are summed once for each kind
+    kinds: dict[tuple, int] = {}
+    kind = np.zeros((n, longest), int)
+    for i, r in enumerate(rows):
+        kind[i, : len(r)] = [kinds.setdefault(tuple(b), len(kinds)) for b in r]
+    of = np.array([k for b, k in kinds.items() for _ in b])
+    feat = np.array([names[f] for b in kinds for f in b])
     w, pair = np.zeros(len(names)), np.zeros((2, 2))
     memory = [np.zeros(len(names)), np.zeros((2, 2))]
     joint = real[:, 1:]
     going, last = real.sum(axis=0), (np.arange(n), real.sum(axis=1) - 1)
     wanted_pair = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & joint).sum() for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(steps):
-        score = np.stack([np.zeros((n, longest)), np.bincount(slot, w[feat], n * longest).reshape(n, longest)], axis=2)
+        score = np.stack([np.zeros((n, longest)), np.bincount(of, w[feat], len(kinds))[kind] * real], axis=2)
         forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         forward[:, 0] = score[:, 0]
         for k in range(1, longest):
@@ -282,7 +287,8 @@ def train(pages: list[str], steps: int = STEPS) -> Field:
             backward[some, k] = np.logaddexp.reduce(pair + (score[some, k + 1] + backward[some, k + 1])[:, None, :], axis=2)
         total = np.logaddexp.reduce(forward[last], axis=1)
         one = np.exp(np.where(real, forward[:, :, 1] + backward[:, :, 1] - total[:, None], -np.inf))
-        grad = np.bincount(feat, ((y - one) * real).ravel()[slot], len(names)) / n - RIDGE * w
+        missed = np.bincount(kind[real], (y - one)[real], len(kinds))
+        grad = np.bincount(feat, missed[of], len(names)) / n - RIDGE * w
         both = forward[:, :-1, :, None] + pair + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
         grad_pair = (wanted_pair - np.exp(both[joint]).sum(axis=0)) / n - RIDGE * pair
         for value, g, m in ((w, grad, memory[0]), (pair, grad_pair, memory[1])):
