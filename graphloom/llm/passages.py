@@ -2,13 +2,16 @@
 
 A text is one sequence of words (ASCII letters lower-cased; runs of anything but white space), line breaks being white
 space. Of every WINDOW consecutive runs of GRAM words the one of least hash is chosen, so two texts that share any run
-of GRAM + WINDOW - 1 = 25 words share a chosen one. A passage of over 50 words and its near copy (Jaccard of 5-word
+of GRAM + WINDOW - 1 = 21 words share a chosen one. A passage of over 50 words and its near copy (Jaccard of 5-word
 shingles at least 0.8) share such a run: an edit costs 5 shingles, so there is at most one edit in 45 words.
 
-Chosen runs of more than one document, equal by 128 bits of hash, are the hits. The first occurrence (least doc_id,
-null last, then place) of a run stays; hits of a document that overlap or touch and have their first occurrences side by
-side in one document are one passage. Its ends are those of its hits: up to WINDOW - 1 words of the shared run may be
-left over on each side. Hits that touch a removed line are left out first, so what stays of a class is never removed.
+Chosen runs of more than one document, equal by 128 bits of hash, are the hits. A bounded bitmap of the shared hashes is
+sent to the workers, so that other runs never leave them; an exact join follows. The first occurrence (least doc_id,
+null last, then place) of a run stays. Hits of a document that overlap or are a few words (APART) apart and have their
+first occurrences side by side in one document, but for an edit of up to EDIT words, are one passage. Its ends are those
+of its hits: up to WINDOW - 1 words of the shared run may be left over on each side, so every equal run of
+SHORTEST + 2 (WINDOW - 1) = 35 words is a passage, and hits that span fewer than SHORTEST words are none. Hits that touch
+a removed line are left out first, so what stays of a class is never removed.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ from graphloom.llm import membership
 from graphloom.llm import text as texts_of
 from graphloom.session import checkpoint, release
 
-GRAM, WINDOW = 20, 6
+GRAM, WINDOW = 16, 6  # GRAM is a power of 2
+EDIT, APART = 2, 8  # words by which the sides of an edit may be shifted, and lie apart beyond a run
+SHORTEST = 25  # words from the first hit of a passage to the end of its last
 FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BITS = 1 << 26  # 8 MB of bitmap
 HIT = "row long, doc_id long, print long, key long, mark long, pos int, start int, `end` int, paragraph int"
 
 
@@ -40,20 +44,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _rolled(h: np.ndarray, factor: np.uint64) -> np.ndarray:
-    """A hash of each GRAM words in a row."""
-    n = len(h) - GRAM + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        out = out * factor + h[k : k + n]
-    return _mix(out)
+    """A hash of each GRAM words in a row, from those of half as many."""
+    width = 1
+    while width < GRAM:
+        h = h[:-width] * factor + _mix(h[width:])
+        width *= 2
+    return _mix(h)
+
+
+def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) of each `width` values in a row."""
+    have = 1
+    while 2 * have <= width:
+        x = pick(x[:-have], x[have:])
+        have *= 2
+    return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
 def chosen(g: np.ndarray) -> np.ndarray:
-    """Places of the least hash of each WINDOW in a row (of all, where there are fewer), ascending."""
+    """Places whose hash is the least of some WINDOW in a row (of all, where there are fewer), ascending."""
     if len(g) <= WINDOW:
-        return np.array([int(g.argmin())])
-    least = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(axis=1)
-    return np.unique(np.arange(len(least)) + least)
+        return np.flatnonzero(g == g.min())
+    least = _slide(g, WINDOW, np.minimum)
+    edge = np.zeros(WINDOW - 1, g.dtype)
+    return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == g)
 
 
 def _spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,48 +80,62 @@ def _spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points[edge[::2]], points[edge[1::2]], lines[edge[::2]]
 
 
-def _runs(docs: DataFrame, places: bool) -> DataFrame:
-    """The chosen runs: with their places, or else only the distinct keys of each document."""
+def _runs(docs: DataFrame, bitmap: bytes | None) -> DataFrame:
+    """The distinct keys of the chosen runs of each document; or, with a bitmap of keys, the places of those in it."""
     src = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.monotonically_increasing_id().alias("row"), F.col("row").alias("print"),
     )
-    texts_of.bound_batches(docs.sparkSession)
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 4
+    spark = docs.sparkSession
+    texts_of.bound_batches(spark)
+    shipped = None if bitmap is None else spark.sparkContext.broadcast(bitmap)
     names = [f.split()[0].strip("`") for f in HIT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if shipped is None else np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             for rows, values in texts_of.slices(batch, "text"):
                 number, split = defaultdict(count().__next__), [data.lower().split() for data in values]
                 numbers = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in split]
                 known = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-                found: list[list] = [[] for _ in (names if places else "k")]
+                found: list[list] = []
                 for i, n in enumerate(numbers):
                     if len(n) < GRAM:
                         continue
                     h = known[n]
                     g = _rolled(h, FACTORS[0])
                     at = chosen(g)
-                    if not places:
-                        found[0].append(np.unique(g[at]).view(np.int64))
+                    if held is None:
+                        found.append([np.unique(g[at])])
                         continue
-                    start, end, line = _spans(values[i])
-                    mark = _rolled(h, FACTORS[1])[at]
-                    whole = [np.full(len(at), i)] * 3 + [g[at].view(np.int64), mark.view(np.int64), at, start[at], end[at + GRAM - 1], line[at]]
-                    for x, y in zip(found, whole):
-                        x.append(y)
-                if not found[0]:
+                    bit = (g[at] & np.uint64(8 * len(held) - 1)).astype(np.int64)
+                    at = at[(held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                    if len(at):
+                        start, end, line = _spans(values[i])
+                        found.append([np.full(len(at), i), g[at], _rolled(h, FACTORS[1])[at], at, start[at], end[at + GRAM - 1], line[at]])
+                if not found:
                     continue
-                flat = [np.concatenate(x) for x in found]
-                if not places:
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[0])], names=["key"])
+                flat = [np.concatenate(x) for x in zip(*found)]
+                if held is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64))], names=["key"])
                     continue
                 of = pa.array(flat[0])
-                head = [rows.column(2).take(of), rows.column(0).take(of), rows.column(3).take(of)]
-                yield pa.RecordBatch.from_arrays(head + [pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(flat[3:], kinds[3:])], names=names)
+                head = [rows.column(k).take(of) for k in (2, 0, 3)]
+                wide = [pa.array(x.view(np.int64)) for x in flat[1:3]]
+                yield pa.RecordBatch.from_arrays([*head, *wide, *[pa.array(x.astype(np.int32)) for x in flat[3:]]], names=names)
 
-    return src.mapInArrow(run, HIT if places else "key long")
+    return src.mapInArrow(run, "key long" if bitmap is None else HIT)
+
+
+def _bitmap(keys: DataFrame, bits: int) -> bytes:
+    """The bitmap of keys(key), which are hashes, by their lowest bits: bits / 8 bytes, whatever the number of keys."""
+    low = keys.select(F.pmod("key", F.lit(bits)).alias("h"))
+    parts = low.groupBy(F.expr(f"h div {membership.PER_ROW}").alias("b")).agg(F.bitmap_construct_agg(F.expr(f"h % {membership.PER_ROW}")).alias("m"))
+    out = bytearray(bits // 8)
+    size = membership.PER_ROW // 8
+    for r in parts.collect():
+        out[r.b * size : (r.b + 1) * size] = r.m
+    return bytes(out)
 
 
 def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -118,10 +146,10 @@ def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     the number of occurrences of the passage's most frequent run.
     """
     spark = docs.sparkSession
-    shared = _runs(docs, False).groupBy("key").count().where("count > 1").select("key")
+    shared = _runs(docs, None).groupBy("key").count().where("count > 1").select("key")
     shared = checkpoint(shared)
     release(spark)
-    hits, _ = membership.split(_runs(docs, True), F.col("key"), membership.bitmap(shared, F.col("key"), BITS), BITS)
+    hits = _runs(docs, _bitmap(shared, membership.bits_for(shared.count())))
     gone = lines.where("NOT kept").groupBy(F.col("row").alias("print")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     hits = hits.join(shared, "key", "left_semi").join(gone, "print", "left")
     hits = hits.where("gone IS NULL OR NOT exists(gone, x -> x.start < end AND x.end > start)").drop("print", "gone")
@@ -132,16 +160,17 @@ def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     classes = checkpoint(classes.where("a < b").drop("a", "b"))
     named = hits.join(classes, ["key", "mark"])
     w = Window.partitionBy("row").orderBy("pos")
-    side = (F.col("first.row") == F.lag("first.row").over(w)) & (
-        F.col("first.pos") - F.col("pos") == F.lag(F.col("first.pos") - F.col("pos")).over(w)
-    ) & (F.col("pos") <= F.lag("pos").over(w) + GRAM)
+    off = F.col("first.pos") - F.col("pos")
+    side = (F.col("first.row") == F.lag("first.row").over(w)) & (F.abs(off - F.lag(off).over(w)) <= EDIT) & (
+        F.col("pos") <= F.lag("pos").over(w) + GRAM + APART
+    )
     named = named.withColumn("new", F.when(side, 0).otherwise(1)).withColumn("passage", F.sum("new").over(w))
     out = named.groupBy("row", "passage").agg(
         F.any_value("doc_id").alias("doc_id"), F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
         (F.max("pos") - F.min("pos") + GRAM).alias("n_words"), F.min("first").alias("keep"), F.max("n").alias("class_size"),
         F.min("pos").alias("pos"),
     )
-    return checkpoint(out.select(
+    return checkpoint(out.where(F.col("n_words") >= SHORTEST).select(
         "doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_id"), F.col("keep.paragraph").alias("keep_paragraph"),
         "class_size", ((F.col("keep.row") == F.col("row")) & (F.col("keep.pos") == F.col("pos"))).alias("kept"),
     ))

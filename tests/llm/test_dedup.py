@@ -253,7 +253,7 @@ def test_passages_inside_lines_and_rewrapped(spark):
     low = passage.lower()
     for r in got:
         part = " ".join(texts[r.doc_id][r.start : r.end].lower().split())
-        assert part in low and len(part.split()) == r.n_words and r.keep_id == 1 and r.kept == (r.doc_id == 1) and r.keep_paragraph == 0
+        assert part in (edited.lower() if r.doc_id == 4 else low) and len(part.split()) == r.n_words and r.keep_id == 1 and r.kept == (r.doc_id == 1) and r.keep_paragraph == 0
         assert r.paragraph == texts[r.doc_id][: r.start].count("\n")
     covered = Counter()
     for r in got:
@@ -263,7 +263,7 @@ def test_passages_inside_lines_and_rewrapped(spark):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_runs_of_25_words_share_a_choice(seed):
+def test_runs_of_21_words_share_a_choice(seed):
     from graphloom.llm import passages as W
 
     rng = np.random.default_rng(seed)
