@@ -33,10 +33,19 @@ class Graph:
 
     @staticmethod
     def from_csr(spark: SparkSession, offsets: list[int], adjacency: list[int], directed: bool = False) -> Graph:
-        """A graph from compressed rows: the out-edges of v are adjacency[offsets[v]:offsets[v + 1]]."""
-        rows = [(v, adjacency[offsets[v] : offsets[v + 1]]) for v in range(len(offsets) - 1)]
-        adj = spark.createDataFrame(rows, "src long, dst array<long>")
-        return Graph.from_edges(adj.select("src", F.explode("dst").alias("dst")), adj.select(F.col("src").alias("id")), directed)
+        """A graph from compressed rows: the out-edges of v are adjacency[offsets[v]:offsets[v + 1]]. For lists on the
+        driver; tables of any size go through from_csr_tables."""
+        off = spark.createDataFrame(list(enumerate(offsets)), "id long, offset long")
+        adj = spark.createDataFrame(list(enumerate(adjacency)), "at long, dst long")
+        return Graph.from_csr_tables(off, adj, directed)
+
+    @staticmethod
+    def from_csr_tables(offsets: DataFrame, adjacency: DataFrame, directed: bool = False) -> Graph:
+        """The same from offsets(id, offset), the last of which ends the last row, and adjacency(at, dst)."""
+        ends = offsets.select((F.col("id") - 1).alias("id"), F.col("offset").alias("end"))
+        rows = offsets.join(ends, "id")
+        places = rows.where("end > offset").select(F.col("id").alias("src"), F.explode(F.sequence("offset", F.col("end") - 1)).alias("at"))
+        return Graph.from_edges(places.join(adjacency, "at").select("src", "dst"), rows.select("id"), directed)
 
     def with_universe(self, vertices: DataFrame) -> Graph:
         return Graph.from_edges(self.edges, vertices, self.directed)

@@ -1,31 +1,47 @@
 """Betweenness centrality by Brandes' accumulation from many roots at once.
 
-State is keyed by (root, id); roots go in blocks so that the state of a block stays in proportion to the cluster. Scores
-are not normalised and not halved; sampled roots are not rescaled unless asked.
+A graph counted to be small is broadcast, and tasks take groups of roots (operators.small). Beyond, state is keyed by
+(root, id); roots go in blocks whose state, a row per vertex and root at most, stays at about STATE rows. Scores are not
+normalised and not halved; sampled roots are not rescaled unless asked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators import small as kernels
 from graphloom.session import checkpoint, checkpoint_measured, small
 
+STATE = 2_000_000_000  # rows of (root, id) of a block, over all executors
+
 
 def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
     """k roots drawn with replacement: (root) rows, each draw a hash over the ranked universe."""
     ids = graph.vertices.select("id").orderBy("id")
-    ranked = ids.withColumn("at", F.monotonically_increasing_id())
-    ranked = checkpoint(ranked)
-    parts = ranked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low")).orderBy("part").collect()
-    total = sum(r.n for r in parts)
+    ranked = checkpoint(ids.withColumn("at", F.monotonically_increasing_id()))
+    parts = ranked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition of the sort
+    parts = checkpoint(parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"), "n"))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    numbered = ranked.join(F.broadcast(parts), F.shiftright("at", 33) == F.col("part")).select(
+        F.col("id").alias("root"), (F.col("base") + (F.col("at") - F.shiftleft("part", 33))).alias("pick")
+    )
     draws = ranked.sparkSession.range(k).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("pick"))
-    at, base = F.lit(None).cast("long"), 0
-    for r in parts:  # one entry per partition of the sort
-        at = F.when((F.col("pick") >= base) & (F.col("pick") < base + r.n), F.col("pick") - base + r.low).otherwise(at)
-        base += r.n
-    return draws.select(at.alias("at")).join(ranked, "at").select(F.col("id").alias("root"))
+    return draws.join(numbered, "pick").select("root")
+
+
+def levels(graph: Graph, roots: DataFrame) -> DataFrame:
+    """(root, id, level, sigma): depth and number of shortest paths of every vertex that each root reaches."""
+    edges = graph.by_source()
+    found = _forward(edges, checkpoint(roots.select("root").distinct()))
+    out = [x.select("root", "id", F.lit(d).alias("level"), "sigma") for d, (x, _) in enumerate(found)]
+    edges.unpersist()
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
 
 
 def _forward(edges: DataFrame, roots: DataFrame) -> list[tuple[DataFrame, int]]:
@@ -66,19 +82,30 @@ def _block(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return checkpoint(total.groupBy("id").agg(F.sum("value").alias("value")))
 
 
-def betweenness(graph: Graph, roots: DataFrame | None = None, block: int = 4096, normalized: bool = False, scale: bool = False) -> DataFrame:
-    """(id, bc) of the universe. roots(root): all vertices if None; a root listed twice counts twice."""
-    edges = graph.by_source()
+def betweenness(
+    graph: Graph, roots: DataFrame | None = None, block: int | None = None, normalized: bool = False, scale: bool = False,
+    local_edges: int = kernels.LOCAL_EDGES,
+) -> DataFrame:
+    """(id, bc) of the universe. roots(root): all vertices if None; a root listed twice counts twice.
+
+    block: roots of a block (by STATE, if None); local_edges: edges up to which the graph is broadcast.
+    """
     chosen = graph.vertices.select(F.col("id").alias("root")) if roots is None else roots.select("root")
     chosen = checkpoint(chosen.groupBy("root").agg(F.count(F.lit(1)).alias("times")))
-    n, picked = graph.vertices.count(), chosen.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    most = chosen.agg(F.coalesce(F.max("times"), F.lit(0))).first()[0]
-    blocks = max(1, -(-chosen.count() // block))
+    n, (picked, most, distinct) = graph.vertices.count(), chosen.agg(
+        F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.max("times"), F.lit(0)), F.count(F.lit(1))
+    ).first()
     parts = []
-    for times in range(1, most + 1):  # draws beyond the first are few
-        for b in range(blocks):
-            some = chosen.where(F.col("times") >= times).where(F.pmod(F.xxhash64("root"), F.lit(blocks)) == b)
-            parts.append(_block(edges, some.select("root")))
+    if kernels.is_small(graph.edges, local_edges):
+        parts.append(kernels.betweenness_parts(graph.edges, chosen))
+    else:
+        edges = graph.by_source()
+        blocks = max(1, -(-distinct // (block or max(1, STATE // max(1, n)))))
+        for times in range(1, most + 1):  # draws beyond the first are few
+            for b in range(blocks):
+                some = chosen.where(F.col("times") >= times).where(F.pmod(F.xxhash64("root"), F.lit(blocks)) == b)
+                parts.append(_block(edges, some.select("root")))
+        edges.unpersist()
     out = graph.vertices.select("id", F.lit(0.0).alias("value"))
     for p in parts:
         out = out.unionByName(p)
@@ -87,5 +114,4 @@ def betweenness(graph: Graph, roots: DataFrame | None = None, block: int = 4096,
         factor *= n / picked
     if normalized and n > 2:
         factor /= (n - 1) * (n - 2)
-    edges.unpersist()
     return out.groupBy("id").agg((F.sum("value") * F.lit(factor)).alias("bc"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators import small as kernels
 from graphloom.session import checkpoint, checkpoint_measured, small
 
 ALPHA, BETA = 15, 18
@@ -51,8 +52,14 @@ class _Switch:
         return _bottom_up if self.up else _top_down
 
 
-def bfs(graph: Graph, root: int, strategy: str = "top_down", alpha: int = ALPHA, beta: int = BETA) -> DataFrame:
-    """(id, level) of all vertices reachable from root; level 0 is root. strategy: top_down, bottom_up, hybrid."""
+def bfs(graph: Graph, root: int, strategy: str = "auto", alpha: int = ALPHA, beta: int = BETA) -> DataFrame:
+    """(id, level) of all vertices reachable from root; level 0 is root. strategy: top_down, bottom_up, hybrid, or auto:
+    one task where the edges were counted to be few, else hybrid."""
+    if strategy == "auto":
+        if kernels.is_small(graph.edges):
+            known = graph.vertices.where(F.col("id") == F.lit(root)).limit(1).count()
+            return kernels.search(graph.edges if known else graph.edges.limit(0), root).where(F.lit(bool(known)))
+        strategy = "hybrid"
     step = {"top_down": _top_down, "bottom_up": _bottom_up, "hybrid": None}[strategy]
     spark = graph.edges.sparkSession
     edges = graph.by_source()

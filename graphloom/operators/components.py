@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, mirrored
+from graphloom.operators import small as kernels
 from graphloom.session import BROADCAST_ROWS, checkpoint, checkpoint_measured, small
 
 SALT = 16
@@ -46,8 +47,19 @@ def _salted(edges: DataFrame, state: DataFrame, n: int) -> DataFrame:
     return found.groupBy("id", "salt").agg(F.max("label").alias("label")).drop("salt")
 
 
-def connected_components(graph: Graph, strategy: str = "concurrent", max_rounds: int = 200) -> DataFrame:
-    """(id, label) of the whole universe. strategy: baseline, concurrent, load_balanced, delta."""
+def connected_components(graph: Graph, strategy: str = "auto", max_rounds: int = 200) -> DataFrame:
+    """(id, label) of the whole universe. strategy: baseline, concurrent, load_balanced, delta, or auto: one task where the
+    edges were counted to be few, else concurrent."""
+    return components_and_rounds(graph, strategy, max_rounds)[0]
+
+
+def components_and_rounds(graph: Graph, strategy: str = "auto", max_rounds: int = 200) -> tuple[DataFrame, int]:
+    """(connected_components, rounds run): the last round changes nothing; 0 where one task did all."""
+    if strategy == "auto":
+        if kernels.is_small(graph.edges):
+            found = kernels.component_labels(graph.edges).withColumnRenamed("label", "found")
+            return graph.vertices.join(found, "id", "left").select("id", F.coalesce("found", "id").alias("label")), 0
+        strategy = "concurrent"
     edges = mirrored(graph.edges.where("src <> dst")).distinct().repartition("src").persist()
     every = graph.vertices.select("id", F.col("id").alias("label"))
     if strategy == "load_balanced":
@@ -56,7 +68,7 @@ def connected_components(graph: Graph, strategy: str = "concurrent", max_rounds:
         state = every
     state, seen = checkpoint_measured(state, n=F.count(F.lit(1)))
     changed, n = state, seen["n"]
-    for _ in range(max_rounds):
+    for rounds in range(1, max_rounds + 1):
         if strategy == "baseline":
             after = shortcut(checkpoint(shortcut(checkpoint(_raise(state, _from_neighbours(edges, state, n), n)), n)), n)
         elif strategy == "concurrent":
@@ -78,7 +90,7 @@ def connected_components(graph: Graph, strategy: str = "concurrent", max_rounds:
     edges.unpersist()
     if strategy == "load_balanced":
         state = every.join(state.withColumnRenamed("label", "found"), "id", "left").select("id", F.coalesce("found", "label").alias("label"))
-    return state
+    return state, rounds
 
 
 def component_count(graph: Graph, labels: DataFrame, singletons: bool = False) -> DataFrame:

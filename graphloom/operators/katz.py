@@ -98,7 +98,7 @@ def update(history: list[DataFrame], after: Graph, batch: DataFrame, sign: int,
     """
     edges = after.edges.select("src", "dst").repartition("dst").persist()
     batch = batch.select("src", "dst").persist()
-    out, delta = [history[0]], None
+    out, delta = [checkpoint(history[0])], None  # new vertices were added to it: its plan must not grow from batch to batch
     for i in range(1, len(history)):
         moved = _walk(batch, history[i - 1], alpha * sign)
         if delta is not None:

@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import checkpoint_measured
+from graphloom.session import checkpoint_measured, small
 
 BROADCAST_EDGES = 4_000_000  # pairs packed into one long each: about 100 MB
 
 
 def triangles(graph: Graph) -> DataFrame:
     """(a, b, c), a < b < c: each triangle once. Loops, repeats and directions do not matter."""
-    edges = graph.simple().symmetrize().edges
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = edges.where("src < dst").join(degree.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src")
+    pairs = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    pairs, made = checkpoint_measured(pairs, n=F.count(F.lit(1)))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"))
+    degree = small(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")), made["n"])  # no more vertices than ends
+    pairs = pairs.join(degree.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src")
     pairs = pairs.join(degree.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst")
     up = F.col("ns") <= F.col("nd")  # at equal degree the smaller id, src, comes first
     oriented = pairs.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"))
@@ -65,7 +67,13 @@ def delta(before: DataFrame, fresh: DataFrame) -> DataFrame:
     edges and counted once, whether one, two or all three of their edges are new.
     """
     after = before.select("src", "dst").unionByName(fresh.select("src", "dst"))
-    new = fresh.where("src < dst").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    new = fresh.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ids = new.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    degree = after.join(ids, F.col("src") == F.col("id"), "left_semi").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    new = new.join(degree.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    # a new edge is widened at its end of lower degree, so one at a hub costs the degree of its other end
+    low = F.col("na") <= F.col("nb")
+    new = new.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"))
     wedge = new.join(after.select(F.col("src").alias("x"), F.col("dst").alias("z")), "x").where("z <> y")
     closed = wedge.join(after.select(F.col("src").alias("y"), F.col("dst").alias("z")), ["y", "z"], "left_semi")
     once = closed.select(F.array_sort(F.array("x", "y", "z")).alias("t")).distinct()

@@ -120,16 +120,24 @@ def walk_counts(graph: str, universe: str, length: int) -> str:
     return _with(*parts) + "\nUNION ALL ".join(f"SELECT {i} AS it, id, n FROM n{i}" for i in range(length + 1))
 
 
-def betweenness(roots: str) -> str:
-    """roots: a query of ids."""
-    return _with(
-        S_SQL, ENDS, f"roots AS ({roots})",
-        """f(r, v, d, s) USING KEY (r, v) AS (
+PATHS = """f(r, v, d, s) USING KEY (r, v) AS (
   SELECT id, id, 0, CAST(1 AS DOUBLE) FROM roots
   UNION
   SELECT w.r, e.dst, w.d + 1, sum(w.s) FROM f w JOIN e ON e.src = w.v
   LEFT JOIN recurring.f k ON k.r = w.r AND k.v = e.dst
-  WHERE k.v IS NULL GROUP BY w.r, e.dst, w.d)""",
+  WHERE k.v IS NULL GROUP BY w.r, e.dst, w.d)"""
+
+
+def betweenness_levels(roots: str) -> str:
+    """roots: a query of ids."""
+    return _with(S_SQL, ENDS, f"roots AS ({roots})", PATHS, recursive=True) + "SELECT r AS root, v AS id, d AS level, s AS sigma FROM f"
+
+
+def betweenness(roots: str) -> str:
+    """roots: a query of ids."""
+    return _with(
+        S_SQL, ENDS, f"roots AS ({roots})",
+        PATHS,
         "f2 AS MATERIALIZED (SELECT * FROM f)",
         """g(r, v, d, s, dl) AS (
   SELECT r, v, d, s, CAST(0 AS DOUBLE) FROM f2 WHERE d = (SELECT max(d) FROM f2)

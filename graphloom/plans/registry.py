@@ -102,7 +102,7 @@ query("traverse_batch", _with(S_SQL, DEGREE) + f"SELECT src, dst, x.degree + y.d
 
 # --- breadth-first search ------------------------------------------------------------------------------------------
 
-for _s in ("top_down", "bottom_up", "hybrid"):
+for _s in ("auto", "top_down", "bottom_up", "hybrid"):
     query(f"bfs_{_s}", oracles.bfs(S_SQL))(on(S, lambda g, s=_s: bfs.bfs(g, root_of(g), s)))
 query("bfs_directed", oracles.bfs(T_SQL))(on(T, lambda g: bfs.bfs(g, root_of(g), "hybrid")))
 query("bfs_summary", oracles.bfs_summary(S_SQL))(on(S, lambda g: bfs.level_count(bfs.bfs(g, root_of(g)))))
@@ -111,7 +111,7 @@ query("bfs_unreached", oracles.bfs_unreached())(on(U, lambda g: bfs.with_unreach
 # --- components ----------------------------------------------------------------------------------------------------
 
 _LABELS = "SELECT v AS id, lab AS label FROM cc"
-for _s in ("baseline", "concurrent", "load_balanced", "delta"):
+for _s in ("auto", "baseline", "concurrent", "load_balanced", "delta"):
     query(f"cc_{_s}", oracles.components(S_SQL, PARTS, _LABELS))(on(U, lambda g, s=_s: components.connected_components(g, s)))
 query("cc_weak_directed", oracles.components(T_SQL, ENDS, _LABELS))(on(T, components.connected_components))
 query("cc_count", oracles.components(S_SQL, PARTS, "SELECT count(*) AS components FROM cc WHERE v = lab AND v IN (SELECT src FROM e)"))(
@@ -174,6 +174,12 @@ query("katz_npaths", oracles.walk_counts(S_SQL, ENDS, 6))(on(S, lambda g: katz.w
 _BC = lambda bc: bc.select("id", settled("bc", 1e6).alias("bc"))
 query("bc_exact", oracles.betweenness("SELECT id FROM u"))(on(S, lambda g: _BC(betweenness.betweenness(g))))
 query("bc_roots", oracles.betweenness("SELECT id FROM u WHERE id % 10 = 1"))(on(S, lambda g: _BC(betweenness.betweenness(g, g.vertices.where("id % 10 = 1").select(F.col("id").alias("root"))))))
+query("bc_joins", oracles.betweenness("SELECT id FROM u WHERE id % 97 = 1"))(
+    on(S, lambda g: _BC(betweenness.betweenness(g, g.vertices.where("id % 97 = 1").select(F.col("id").alias("root")), local_edges=0)))
+)
+query("bc_levels", oracles.betweenness_levels("SELECT id FROM u WHERE id % 97 = 1"))(
+    on(S, lambda g: betweenness.levels(g, g.vertices.where("id % 97 = 1").select(F.col("id").alias("root"))))
+)
 
 # --- updates -------------------------------------------------------------------------------------------------------
 

@@ -1,32 +1,45 @@
 """Work estimates: degrees as work, their prefix sums, and cut points of evenly loaded partitions.
 
-Prefix sums are made in two levels: sums of id ranges meet in one small window, ids only inside their range.
+Prefix sums are made in two levels over the sorted rows: the sums of the sort's partitions (a row each) meet in one small
+window, ids only inside their partition. So ids may be any 64-bit numbers, dense or hashed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.session import checkpoint
 
-RANGE = 65_536  # ids of one range
 
+def listed(graph: Graph, zeros: bool = True, seed: int | None = None) -> DataFrame:
+    """(id, degree) of all vertices, or of those with an out-edge; with a seed in a random order, which `at` numbers."""
+    rows = graph.degrees() if zeros else graph.out_degrees()
+    return rows if seed is None else numbered(rows, F.xxhash64(F.lit(seed), "id"), F.col("id"))
 
-def listed(graph: Graph, zeros: bool = True) -> DataFrame:
-    """(id, degree) of all vertices, or of those with an out-edge."""
-    return graph.degrees() if zeros else graph.out_degrees()
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows in the given order, with at: consecutive numbers from 0."""
+    rows = checkpoint(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition of the sort
+    parts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rest = [c for c in rows.columns if c != "at"]
+    return rows.join(F.broadcast(parts), part == F.col("part")).select(*rest, (F.col("base") + F.col("at") - F.shiftleft("part", 33)).alias("at"))
 
 
 def prefix_work(graph: Graph, zeros: bool = True) -> DataFrame:
     """(id, degree, prefix): prefix is the work of all listed vertices with a smaller id."""
-    work = listed(graph, zeros).withColumn("range", F.floor(F.col("id") / RANGE))
-    sums = work.groupBy("range").agg(F.sum("degree").alias("sum"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    work = checkpoint(listed(graph, zeros).orderBy("id").withColumn("at", F.monotonically_increasing_id()))
+    work = work.withColumn("part", F.shiftright("at", 33))
+    sums = work.groupBy("part").agg(F.sum("degree").alias("sum"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("base") + F.coalesce(F.sum("degree").over(inside), F.lit(0))
-    return work.join(sums, "range").select("id", "degree", prefix.alias("prefix"))
+    return work.join(F.broadcast(sums), "part").select("id", "degree", prefix.alias("prefix"))
 
 
 def partition_count(vertices: int, work: int) -> int:

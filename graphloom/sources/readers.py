@@ -6,7 +6,7 @@ consecutive numbers from the row order of one file, in two levels (lines of a pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -16,12 +16,18 @@ from graphloom.session import checkpoint
 def _numbered(lines: DataFrame) -> DataFrame:
     """(n, value): consecutive numbers from 0 in the order of the file."""
     rows = checkpoint(lines.select("value", F.monotonically_increasing_id().alias("at")))
-    parts = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    base, shift = 0, F.lit(0).cast("long")
-    for r in parts:  # one entry per partition of the file
-        shift = F.when(F.shiftright("at", 33) == r.part, F.lit(base - (r.part << 33))).otherwise(shift)
-        base += r.n
-    return rows.select((F.col("at") + shift).alias("n"), "value")
+    part = F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition of the file
+    parts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    n = F.col("base") + F.col("at") - F.shiftleft("part", 33)
+    return rows.join(F.broadcast(parts), part == F.col("part")).select(n.alias("n"), "value")
+
+
+def _ids(head: DataFrame) -> DataFrame:
+    """(id): 0 to nv - 1, over many partitions, from the one row head(nv)."""
+    row = head.first()
+    return head.sparkSession.range(row.nv if row and row.nv else 0)
 
 
 def _fields(value: str = "value"):
@@ -35,8 +41,7 @@ def read_dimacs(spark: SparkSession, path: str) -> Graph:
     head = rows.where("n = 0").select(F.element_at(_fields(), 1).cast("long").alias("nv"))
     body = rows.where("n > 0").select((F.col("n") - 1).alias("src"), F.explode(_fields()).alias("word")).where("word <> ''")
     edges = body.select("src", (F.col("word").cast("long") - 1).alias("dst"))
-    vertices = head.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)).alias("id"))
-    return Graph.from_edges(edges, vertices)
+    return Graph.from_edges(edges, _ids(head))
 
 
 def read_snap(spark: SparkSession, path: str, relabel: bool = False, directed: bool = True) -> Graph:
@@ -64,8 +69,7 @@ def read_matrix_market(spark: SparkSession, path: str, symmetrize: bool | None =
     f = _fields()
     size = rows.where("n = 0").select(F.greatest(F.element_at(f, 1).cast("long"), F.element_at(f, 2).cast("long")).alias("nv"))
     edges = rows.where("n > 0").select((F.element_at(f, 1).cast("long") - 1).alias("src"), (F.element_at(f, 2).cast("long") - 1).alias("dst"))
-    vertices = size.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)).alias("id"))
-    graph = Graph.from_edges(edges, vertices, directed=not symmetrize)
+    graph = Graph.from_edges(edges, _ids(size), directed=not symmetrize)
     return graph.symmetrize() if symmetrize else graph
 
 
