@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 from graphloom.operators import small as kernels
 from graphloom.session import checkpoint, checkpoint_measured, small
+from graphloom.sources.generators import draw
 
 STATE = 2_000_000_000  # rows of (root, id) of a block, over all executors
 
@@ -28,7 +29,7 @@ def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
     numbered = ranked.join(F.broadcast(parts), F.shiftright("at", 33) == F.col("part")).select(
         F.col("id").alias("root"), (F.col("base") + (F.col("at") - F.shiftleft("part", 33))).alias("pick")
     )
-    draws = ranked.sparkSession.range(k).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("pick"))
+    draws = ranked.sparkSession.range(k).select((draw(F.col("id"), 3, seed) % max(1, total)).alias("pick"))
     return draws.join(numbered, "pick").select("root")
 
 

@@ -136,7 +136,7 @@ def betweenness_levels(roots: str) -> str:
 def betweenness(roots: str) -> str:
     """roots: a query of ids."""
     return _with(
-        S_SQL, ENDS, f"roots AS ({roots})",
+        S_SQL, ENDS, f"roots AS (SELECT id, count(*) AS times FROM ({roots}) GROUP BY id)",
         PATHS,
         "f2 AS MATERIALIZED (SELECT * FROM f)",
         """g(r, v, d, s, dl) AS (
@@ -146,7 +146,7 @@ def betweenness(roots: str) -> str:
   FROM f2 p LEFT JOIN e ON e.src = p.v LEFT JOIN g x ON x.r = p.r AND x.v = e.dst
   WHERE p.d = (SELECT max(d) - 1 FROM g) GROUP BY p.r, p.v, p.d)""",
         recursive=True,
-    ) + "SELECT u.id, floor(coalesce(x.bc, 0) * 1e6 + 0.37) / 1e6 AS bc FROM u LEFT JOIN (SELECT v AS id, sum(dl) AS bc FROM g WHERE r <> v GROUP BY v) x USING (id)"
+    ) + "SELECT u.id, floor(coalesce(x.bc, 0) * 1e6 + 0.37) / 1e6 AS bc FROM u LEFT JOIN (SELECT v AS id, sum(dl * times) AS bc FROM g JOIN roots ON roots.id = r WHERE r <> v GROUP BY v) x USING (id)"
 
 
 def prefix(graph: str) -> str:
@@ -164,16 +164,56 @@ SELECT CAST(part AS INTEGER) AS part, CAST((total * part) // parts AS BIGINT) AS
   (SELECT count(*) FROM x WHERE x.id < i.last AND x.prefix < (total * part) // parts) AS boundary FROM i"""
 
 
-def uniform_draw(i: str, stream: int, seed: int) -> str:
+def sampled_roots(k: int, seed: int = 7) -> str:
+    """k draws with replacement over the ranked vertices."""
+    return (
+        f"SELECT x.id FROM (SELECT unnest(range({k}))::BIGINT AS i) q, (SELECT count(*) AS nv FROM u) n "
+        f"JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM u) x ON x.at = {uniform_draw('q.i', 3, seed)} % n.nv"
+    )
+
+
+def iterations(rounds: int, threshold: float) -> str:
+    """Rounds of a chain of page_rank that ran."""
+    every = " UNION ALL ".join(f"SELECT max(l1) AS l FROM r{i}" for i in range(rounds))
+    return f"SELECT CAST(count(*) FILTER (WHERE l > {threshold}) AS INTEGER) AS iterations FROM ({every})"
+
+
+def random_list(seed: int) -> str:
+    return _with(S_SQL, DEGREE) + f"SELECT id, degree, row_number() OVER (ORDER BY {uniform_draw('id', 5, seed)}, id) - 1 AS at FROM d"
+
+
+def removed_batches(size: int, batches: int, repeats: int, present: int) -> str:
+    top = batches * size
+    return _with(
+        S_SQL, f"p2 AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY (a * 1000003 + b * 8191) % 2147483647, a, b) - 1 AS pos FROM (SELECT src AS a, dst AS b FROM e WHERE src < dst))",
+        f"o AS (SELECT pos // {size} AS batch, a, b, pos % {size} AS k FROM p2 WHERE pos < {top})",
+        f"x AS (SELECT batch, a, b FROM o UNION ALL SELECT batch, a, b FROM o WHERE k < {repeats} UNION ALL "
+        f"SELECT i.batch, a, b FROM p2, (SELECT unnest(range({batches})) AS batch) i WHERE pos >= {top} AND pos < {top + present})",
+    ) + "SELECT CAST(batch AS INTEGER) AS batch, a AS src, b AS dst FROM x UNION ALL SELECT CAST(batch AS INTEGER), b, a FROM x"
+
+
+def rmat(edges: str, scale: str, seed: int = 1, weights=(0.55, 0.15, 0.15, 0.25), noise: float = 0.05) -> str:
+    """A row per drawn edge and bit, each with its five draws; bits are added up by place."""
+    unit = lambda k: f"({uniform_draw('row', f'(bit * 5 + {k})', seed)} / 2147483647.0::DOUBLE)"
+    w = ", ".join(f"{x}::DOUBLE * ({1 - noise!r}::DOUBLE + {2 * noise!r}::DOUBLE * {unit(k)}) AS w{k}" for k, x in enumerate(weights))
+    return f"""WITH s AS (SELECT {scale} AS scale), r AS (SELECT unnest(range({edges}))::BIGINT AS row),
+g AS (SELECT row, bit::BIGINT AS bit, scale FROM r, (SELECT scale, unnest(range(scale)) AS bit FROM s)),
+q AS (SELECT row, bit, scale, {w}, {unit(4)} AS u FROM g),
+z AS (SELECT *, u * (w0 + w1 + w2 + w3) AS pos FROM q),
+y AS (SELECT row, 1::BIGINT << CAST(scale - 1 - bit AS BIGINT) AS place, pos >= w0 + w1 AS low, (pos >= w0 AND pos < w0 + w1) OR pos >= w0 + w1 + w2 AS right_ FROM z)
+SELECT row, CAST(sum(CASE WHEN low THEN place ELSE 0 END) AS BIGINT) AS src, CAST(sum(CASE WHEN right_ THEN place ELSE 0 END) AS BIGINT) AS dst FROM y GROUP BY row"""
+
+
+def uniform_draw(i: str, stream: int | str, seed: int) -> str:
     """The draw of sources.generators in SQL."""
-    x = f"(({i} * 2654435 + {stream * 7368787 + seed * 15485863}) % 2147483647)"
+    x = f"(({i} * 2654435 + {stream} * 7368787 + {seed * 15485863}) % 2147483647)"
     for a, b in ((48271, 11), (69621, 7919), (16807, 104729)):
         y = f"(({x} * {a} + {b}) % 2147483647)"
         x = f"(({y} * ({y} % 32749 + 1) + {b}) % 2147483647)"
     return x
 
 
-def uniform(vertices: str, edges: int, select: str) -> str:
+def uniform(vertices: str, edges: str, select: str) -> str:
     return f"WITH n AS (SELECT {vertices} AS nv), r AS (SELECT unnest(range({edges}))::BIGINT AS row), g AS (SELECT row, {uniform_draw('row', 0, 1)} % nv AS src, {uniform_draw('row', 1, 1)} % nv AS dst FROM r, n) {select}"
 
 

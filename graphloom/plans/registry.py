@@ -17,8 +17,8 @@ from graphloom.operators import betweenness, bfs, components, katz, pagerank, tr
 from graphloom.plans import fixtures, oracles, work
 from graphloom.plans.fixtures import BUCKET, D_SQL, S_SQL, T_SQL
 from graphloom.plans.oracles import DEGREE, ENDS, PARTS
-from graphloom.session import Staging
-from graphloom.sources import generators, updates
+from graphloom.session import Staging, checkpoint
+from graphloom.sources import generators, readers, updates
 from graphloom.streaming.incremental import KatzState, TriangleState, run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,7 @@ query("adjacency", _with(S_SQL) + "SELECT src AS id, string_agg(dst, ',' ORDER B
 )
 query("nonzero_vertices", _with(S_SQL, DEGREE) + "SELECT id FROM d")(on(U, Graph.nonzero_vertices))
 query("prefix_work", oracles.prefix(S_SQL))(on(S, work.prefix_work))
+query("random_list", oracles.random_list(11))(on(S, lambda g: work.listed(g, zeros=False, seed=11)))
 query("work_partitions", oracles.partitions(S_SQL))(on(S, work.work_partitions))
 
 # --- traversal operators -------------------------------------------------------------------------------------------
@@ -148,6 +149,10 @@ query("pagerank_sum", oracles.page_rank(S_SQL, PARTS, 5, 0.0, "SELECT round(sum(
     on(U, lambda g: pagerank.total(pagerank.page_rank(g, 5, 0.0)[0]).select(F.round("total", 6).alias("total")))
 )
 
+query("pagerank_iterations", oracles.page_rank(S_SQL, ENDS, 20, 0.01, oracles.iterations(20, 0.01)))(
+    on(S, lambda g: g.edges.sparkSession.createDataFrame([(pagerank.page_rank(g, 20, 0.01)[1],)], "iterations int"))
+)
+
 # --- triangles -----------------------------------------------------------------------------------------------------
 
 query("triangles_per_vertex", oracles.triangles_per_vertex(D_SQL, (2, 2, 2)))(on(D, triangles.per_vertex))
@@ -169,11 +174,16 @@ query("katz_topk", oracles.katz(S_SQL, ENDS, 20, 10, "SELECT id, floor(kc * 1e9
 query("katz_directed", oracles.katz(T_SQL, ENDS, 6, 0, "SELECT id, floor(kc * 1e9 + 0.37) / 1e9 AS kc FROM k"))(on(T, lambda g: katz.katz(g, 6, 0).scores().select("id", settled("kc", 1e9).alias("kc"))))
 query("katz_npaths", oracles.walk_counts(S_SQL, ENDS, 6))(on(S, lambda g: katz.walk_counts(g, 6).select("it", "id", F.col("n").cast("long").alias("n"))))
 
+query("katz_iterations", oracles.katz(S_SQL, ENDS, 20, 10, "SELECT CAST(max(it) AS INTEGER) AS iterations FROM k"))(
+    on(S, lambda g: g.edges.sparkSession.createDataFrame([(katz.katz(g, 20, 10).iteration,)], "iterations int"))
+)
+
 # --- betweenness ---------------------------------------------------------------------------------------------------
 
 _BC = lambda bc: bc.select("id", settled("bc", 1e6).alias("bc"))
 query("bc_exact", oracles.betweenness("SELECT id FROM u"))(on(S, lambda g: _BC(betweenness.betweenness(g))))
 query("bc_roots", oracles.betweenness("SELECT id FROM u WHERE id % 10 = 1"))(on(S, lambda g: _BC(betweenness.betweenness(g, g.vertices.where("id % 10 = 1").select(F.col("id").alias("root"))))))
+query("bc_sampled", oracles.betweenness(oracles.sampled_roots(40)))(on(S, lambda g: _BC(betweenness.betweenness(g, betweenness.sample_roots(g, 40)))))
 query("bc_joins", oracles.betweenness("SELECT id FROM u WHERE id % 97 = 1"))(
     on(S, lambda g: _BC(betweenness.betweenness(g, g.vertices.where("id % 97 = 1").select(F.col("id").alias("root")), local_edges=0)))
 )
@@ -239,8 +249,8 @@ def _streamed(g: Graph, state_of: Callable[[Graph], object], result: Callable[[o
     with Staging(spark, "stream") as st:
         gone = g.edges.where(generators.bucket() == 0)
         for i, (op, rows) in enumerate([*(("insert", b) for b in batches), ("delete", gone)]):
-            rows.select(F.lit(i).alias("batch_id"), F.lit(op).alias("op"), "src", "dst").coalesce(1).write.mode("append").parquet(st.path("in"))
-        run_stream(spark, state, st.path("in"), st.path("progress"), files_per_batch=100)
+            rows.select(F.lit(i).alias("batch_id"), F.lit(op).alias("op"), "src", "dst").write.mode("append").parquet(st.path("in"))
+        run_stream(spark, state, st.path("in"), st.path("progress"), files_per_batch=1000, state_path=st.path("state"))
         return result(state)
 
 
@@ -251,27 +261,89 @@ query("triangles_stream", oracles.triangles_per_vertex(f"{S_SQL.replace('e AS MA
 
 def _katz_state(g: Graph, whole: Graph) -> KatzState:
     """A state of fixed rounds whose alpha is that of the whole graph."""
-    state = KatzState.__new__(KatzState)
-    state.top_degree, state.top_degree_grew = katz.max_degree(whole), False
-    state.alpha = 1.0 / (state.top_degree + 1)
-    state.graph, state.history = g, katz.fixed_rounds(g, _ROUNDS, state.alpha)
-    return state
+    return KatzState(g, _ROUNDS + 1, 0, katz.max_degree(whole))
 
 
 query("katz_stream", oracles.katz_fixed(S_SQL, ENDS, _ALPHA, _ROUNDS, f"{BUCKET} <> 0"))(
     on(S, lambda g: _streamed(g, lambda base: _katz_state(base, g), lambda s: s.scores().select("id", settled("kc", 1e9).alias("kc"))))
 )
 
+query("katz_stream_directed", oracles.katz_fixed(T_SQL, ENDS, _ALPHA, _ROUNDS, f"{BUCKET} <> 0"))(
+    on(T, lambda g: _streamed(g, lambda base: _katz_state(base, g), lambda s: s.scores().select("id", settled("kc", 1e9).alias("kc"))))
+)
+
 # --- generators ----------------------------------------------------------------------------------------------------
 
-_PARTS_N, _DRAWS = "(SELECT count(*) FROM part)", 2000
+_PARTS_N, _LINES_N, _SCALE = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM lineitem)", "(SELECT CAST(floor(log2(count(*))) AS BIGINT) FROM part)"
+
+
+def _drawn(make: Callable[[SparkSession, int, int], DataFrame]) -> Query:
+    """As many edges as there are lines, over as many vertices as there are parts."""
+    count = lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    return lambda spark, sf_dir: make(spark, count(spark, sf_dir, "part"), count(spark, sf_dir, "lineitem"))
+
+
+query("gen_uniform", oracles.uniform(_PARTS_N, _LINES_N, "SELECT row, src, dst FROM g"))(_drawn(generators.uniform))
+query("gen_mirrored", oracles.uniform(_PARTS_N, _LINES_N, "SELECT row * 2 AS row, src, dst FROM g UNION ALL SELECT row * 2 + 1, dst, src FROM g"))(_drawn(generators.mirrored_uniform))
+query("gen_inverted", oracles.uniform(_PARTS_N, _LINES_N, "SELECT row, dst AS src, src AS dst FROM g"))(_drawn(generators.inverted_uniform))
+query("gen_rmat", oracles.rmat(_LINES_N, _SCALE))(_drawn(lambda spark, parts, lines: generators.rmat(spark, parts.bit_length() - 1, lines)))
+_BATCHES = (50, 3, 20, 30)
+query("batch_sampler", oracles.removed_batches(*_BATCHES))(on(S, lambda g: generators.removed_batches(g, *_BATCHES)[1]))
+
+# --- readers: the sparse graph goes through a text file of each format ------------------------------------------------
+
+
+def _through(write: Callable[[Graph, str], None], read: Callable[[SparkSession, str], Graph], name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Staging(spark, "reader") as st:
+            write(S(spark, sf_dir), st.path(name))
+            return checkpoint(read(spark, st.path(name)).edges.select("src", "dst"))
 
+    return run
 
-def _count(spark: SparkSession, sf_dir: str) -> int:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").count()
 
+def _text(lines: DataFrame, path: str) -> None:
+    """lines(at, value) as one file in the order of at: these formats are single files."""
+    lines.orderBy("at").select("value").coalesce(1).write.text(path)
 
-query("gen_uniform", oracles.uniform(_PARTS_N, _DRAWS, "SELECT row, src, dst FROM g"))(lambda s, d: generators.uniform(s, _count(s, d), _DRAWS))
-query("gen_mirrored", oracles.uniform(_PARTS_N, _DRAWS, "SELECT row * 2 AS row, src, dst FROM g UNION ALL SELECT row * 2 + 1, dst, src FROM g"))(lambda s, d: generators.mirrored_uniform(s, _count(s, d), _DRAWS))
-query("gen_inverted", oracles.uniform(_PARTS_N, _DRAWS, "SELECT row, dst AS src, src AS dst FROM g"))(lambda s, d: generators.inverted_uniform(s, _count(s, d), _DRAWS))
-query("gen_rmat")(lambda s, d: generators.rmat(s, 8, _DRAWS))
+
+def _heads(spark: SparkSession, *values: str) -> DataFrame:
+    return spark.createDataFrame([(i - len(values), v) for i, v in enumerate(values)], "at long, value string")
+
+
+def _dimacs(g: Graph, path: str) -> None:
+    top, lists = g.vertices.agg(F.max("id")).first()[0], g.adjacency()
+    spark = g.edges.sparkSession
+    shifted = lists.select("id", F.array_join(F.transform("neighbours", lambda x: x + 1), " ").alias("value"))
+    body = spark.range(top + 1).join(shifted, "id", "left").select(F.col("id").alias("at"), F.coalesce("value", F.lit("")).alias("value"))
+    _text(_heads(spark, "% made for a test", f"{top + 1} {g.edges.count() // 2}").unionByName(body), path)
+
+
+def _pairs(g: Graph, path: str) -> None:
+    body = g.edges.select(F.col("src").alias("at"), F.concat_ws("\t", "src", "dst").alias("value"))
+    _text(_heads(g.edges.sparkSession, "# made for a test").unionByName(body), path)
+
+
+def _matrix(g: Graph, path: str) -> None:
+    top, half = g.vertices.agg(F.max("id")).first()[0] + 1, g.edges.where("src > dst")
+    body = half.select(F.col("src").alias("at"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1).alias("value"))
+    _text(_heads(g.edges.sparkSession, "%%MatrixMarket matrix coordinate pattern symmetric", "% made for a test", f"{top} {top} {half.count()}").unionByName(body), path)
+
+
+def _csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = S(spark, sf_dir)
+    top = g.vertices.agg(F.max("id")).first()[0]
+    every = g.with_universe(spark.range(top + 2))  # the last has no edges: its offset ends the row before
+    offsets = work.prefix_work(every).select("id", F.col("prefix").alias("offset"))
+    adjacency = work.numbered(g.edges, F.col("src"), F.col("dst")).select("at", "dst")
+    return Graph.from_csr_tables(offsets, adjacency).edges
+
+
+_EDGES = _with(S_SQL) + "SELECT src, dst FROM e"
+query("read_dimacs", _EDGES)(_through(_dimacs, readers.read_graph, "s.graph"))
+query("read_snap", _EDGES)(_through(_pairs, readers.read_graph, "s.txt"))
+query("read_matrix_market", _EDGES)(_through(_matrix, readers.read_graph, "s.mtx"))
+query("read_snap_relabelled", _with(S_SQL, ENDS, "x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM u)") + "SELECT a.at AS src, b.at AS dst FROM e JOIN x a ON a.id = e.src JOIN x b ON b.id = e.dst")(
+    _through(_pairs, lambda spark, path: readers.read_snap(spark, path, relabel=True), "s.txt")
+)
+query("read_csr", _EDGES)(_csr)

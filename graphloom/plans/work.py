@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.session import checkpoint
+from graphloom.sources.generators import draw
 
 
 def listed(graph: Graph, zeros: bool = True, seed: int | None = None) -> DataFrame:
     """(id, degree) of all vertices, or of those with an out-edge; with a seed in a random order, which `at` numbers."""
     rows = graph.degrees() if zeros else graph.out_degrees()
-    return rows if seed is None else numbered(rows, F.xxhash64(F.lit(seed), "id"), F.col("id"))
+    return rows if seed is None else numbered(rows, draw(F.col("id"), 5, seed), F.col("id"))
 
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:

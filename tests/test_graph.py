@@ -44,11 +44,11 @@ def test_against_oracle(spark, duck, sf_dir, name):
 
 def test_path(spark):
     g = graph(spark, [(0, 1), (1, 2), (2, 3)])
-    for s in ("top_down", "bottom_up", "hybrid"):
+    for s in ("auto", "top_down", "bottom_up", "hybrid"):
         assert as_dict(bfs.bfs(g, 0, s)) == {0: 0, 1: 1, 2: 2, 3: 3}
     assert bfs.level_count(bfs.bfs(g, 0)).first() == (4, 4)
     assert as_dict(betweenness.betweenness(g)) == {0: 0.0, 1: 4.0, 2: 4.0, 3: 0.0}
-    assert as_dict(betweenness.betweenness(g, block=1)) == {0: 0.0, 1: 4.0, 2: 4.0, 3: 0.0}
+    assert as_dict(betweenness.betweenness(g, block=1, local_edges=0)) == {0: 0.0, 1: 4.0, 2: 4.0, 3: 0.0}
 
 
 def test_triangle_and_isolated(spark):
@@ -70,8 +70,9 @@ def test_k4_and_star(spark):
 
 
 def test_components_small(spark):
-    for s in ("baseline", "concurrent", "load_balanced", "delta"):
-        assert as_dict(components.connected_components(graph(spark, [(0, 1), (2, 3)]), s)) == {0: 1, 1: 1, 2: 3, 3: 3}
+    for s in ("auto", "baseline", "concurrent", "load_balanced", "delta"):
+        labels, rounds = components.components_and_rounds(graph(spark, [(0, 1), (2, 3)]), s)
+        assert as_dict(labels) == {0: 1, 1: 1, 2: 3, 3: 3} and rounds == (0 if s == "auto" else 2)
     chain = graph(spark, [(0, 1), (1, 2)], symmetric=False)
     labels = components.connected_components(chain)
     assert set(as_dict(labels).values()) == {2}
@@ -107,6 +108,81 @@ def test_streams_equal_recompute(spark, tmp_path):
     assert all(abs(got[i] - want[i]) < 1e-10 for i in want)
 
 
+def test_stream_goes_on_after_its_driver(spark, tmp_path):
+    """A new state with the same paths takes up what the last one left, and applies no batch twice."""
+    g = graph(spark, [(a, b) for a in range(7) for b in range(a + 1, 7) if (a * 3 + b) % 4])
+    batches = [(0, "insert", 0, 8), (1, "delete", 0, 1), (2, "insert", 1, 8)]
+
+    def put(i):
+        spark.createDataFrame([batches[i]], BATCH).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+
+    for name, make in (("t", lambda: TriangleState(g)), ("k", lambda: KatzState(g, 5, 0, 9))):
+        where = {"path": f"{tmp_path}/in/*", "checkpoint_path": f"{tmp_path}/c{name}", "state_path": f"{tmp_path}/s{name}"}
+        if name == "t":
+            put(0), put(1)
+            assert run_stream(spark, make(), **where) == 2
+            put(2)
+            again = make()
+            assert run_stream(spark, again, **where) == 1 and again.graph.edges.count() == g.edges.count() + 2
+            assert as_dict(again.counts) == as_dict(triangles.per_vertex(again.graph))
+            # the stream forgets what it has done; the state does not
+            where["checkpoint_path"] += "-new"
+            last = make()
+            assert run_stream(spark, last, **where) == 0 and as_dict(last.counts) == as_dict(again.counts)
+        else:
+            assert run_stream(spark, make(), **where) == 3
+            last = make()
+            assert run_stream(spark, last, **where) == 0 and last.graph.edges.count() == g.edges.count() + 2
+            want = as_dict(katz.scores_of(katz.fixed_rounds(last.graph, 4, last.alpha)))
+            assert all(abs(x - want[i]) < 1e-10 for i, x in as_dict(last.scores()).items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_kernels(seed):
+    """The kernels against plain Python on random graphs, directed and not."""
+    import numpy as np
+
+    from graphloom.operators import small
+
+    rng = np.random.default_rng(seed)
+    ids = np.sort(rng.choice(2**40, 40, replace=False))
+    src, dst = ids[rng.integers(0, 40, 70)], ids[rng.integers(0, 40, 70)]
+    keep = np.unique(np.stack([src, dst])[:, src != dst], axis=1)
+    src, dst = keep if seed % 2 else np.unique(np.concatenate([keep, keep[::-1]], axis=1), axis=1)
+    out = {}
+    for a, b in zip(src.tolist(), dst.tolist()):
+        out.setdefault(a, []).append(b)
+
+    def walk(root):
+        level, paths, order = {root: 0}, {root: 1}, [root]
+        for v in order:
+            for w in out.get(v, []):
+                if w not in level:
+                    level[w], paths[w] = level[v] + 1, 0
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    paths[w] += paths[v]
+        return level, paths, order
+
+    every = np.unique(np.r_[src, dst])
+    bc = dict.fromkeys(every.tolist(), 0.0)
+    for root in every.tolist():
+        level, paths, order = walk(root)
+        assert dict(zip(*(x.tolist() for x in small.levels(src, dst, root)))) == level
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            delta[v] = sum(paths[v] / paths[w] * (1 + delta[w]) for w in out.get(v, []) if level[w] == level[v] + 1)
+            bc[v] += delta[v] if v != root else 0
+    place = lambda x: np.searchsorted(every, x)
+    got = small.dependencies(every, place(src), place(dst), place(every), np.ones(len(every)))
+    assert np.allclose(got, [bc[i] for i in every.tolist()])
+    label = {i: i for i in every.tolist()}
+    for _ in every:
+        for a, b in zip(src.tolist(), dst.tolist()):
+            label[a] = label[b] = max(label[a], label[b])
+    assert dict(zip(*(x.tolist() for x in small.labels(src, dst)))) == label
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.graph").write_text("% c\n3 2\n2\n1 3\n2\n")
     (tmp_path / "a.txt").write_text("# c\n10\t20\n20 30\n")
