@@ -40,7 +40,6 @@ from graphloom.session import Staging, checkpoint, release
 
 HELD_OUT = (7, 2)
 MIN_COUNT, DIVERGENCE = 24, 3.0  # least occurrences of a context: the same at every size of the corpus
-MIN_SHARE = 0.0  # no share of the training tokens is asked for; only tests/llm reads it
 CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
 END = "\n"  # no word holds white space

@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     # the sample's ids are at most `sample` rows of 16 bytes
     picked = keyed.join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi")
     found = {r.doc_id: r.y for r in rows.collect()}
-    got = sorted((r.doc_id, r.x) for r in _features(picked).toLocalIterator()) if found else []
+    # at most `sample` rows of some numbers each, unless doc_ids repeat; one job reads them all
+    got = sorted((r.doc_id, r.x) for r in _features(picked).collect()) if found else []
     if not got:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     return fit(np.array([x for _, x in got]), np.array([found[i] for i, _ in got]))

@@ -67,7 +67,7 @@ def brute_lm(docs):
             n1.update(zip(w, w[1:]))
             n2.update(zip(w, w[1:], w[2:]))
     n, v = sum(c.values()), len(c)
-    least = max(lm_scoring.MIN_COUNT, math.ceil(lm_scoring.MIN_SHARE * n))
+    least = lm_scoring.MIN_COUNT
     f1, f2 = Counter(k[0] for k, m in n1.items() if m == 1), Counter(k[:2] for k, m in n2.items() if m == 1)
     e = lambda f, t: (f + 0.5) / (t + 1)
     p0, o0 = lambda x: (c[x] + 1) / (n + v + 1), lambda x: max(c[x], 1) / (n + v)
@@ -123,6 +123,13 @@ def test_lm_least_count_is_fixed(n):
     assert (state.sends[lm_scoring.PAIRS][0] == want).all()
 
 
+def test_lm_gains_on_held_out_texts(spark):
+    got = lm_scoring.op9_lm_scoring(spark, "/root/testdata/sf0.01").toPandas()
+    for held, least in ((True, 0.03), (False, 0.1)):
+        some = got[got.held_out == held]
+        assert some.score.sum() > (1 - least) * some.base_score.sum()  # both are negative
+
+
 def test_lm_edges(spark):
     data = [(1, None), (2, ""), (None, "a b"), (3, "A\tb a"), (3, "A\tb a"), (4, "z " * 60_000)]
     got = lm_scoring.lm_scores(spark.createDataFrame(data, SCHEMA)).collect()
