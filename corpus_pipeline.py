@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as Parquet to the
 shared folder and read again, so a lost executor repeats at most one stage's tasks. Every stage but the last returns
-the columns of documents.
+the columns of documents, and further ones of any name and type as they are.
+
+Defined results, by stage: null and empty texts are scored like any other (quality), are copies of each other (exact
+dedup: one stays), have fingerprint zero (simhash), size 0 (mixing: at most twice, like any document) and no ids
+(bpe). A null doc_id loses every tie. Of rows that share doc_id and text one stays. Texts of any length are read whole.
+Empty tables pass through all stages.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.functions import broadcast
 
@@ -13,9 +14,11 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. Read from the session; a local one is set only where none is configured."""
+    """The folder all executors see. Read from the session; where none is set, a local master gets one of its own."""
     base = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set(CHECKPOINT_KEY, base)
     if not spark.sparkContext.getCheckpointDir():
@@ -36,7 +39,10 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     plan = made._jdf.queryExecution().analyzed()
     if plan.nodeName() != "LogicalRDD" and not plan.getClass().getSimpleName().startswith("LogicalRDD"):
         return made
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), made._jdf.schema(), False), spark)
+    try:  # not a public method: without it the checkpoint is returned as Spark made it, which is right, but slower in loops
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), made._jdf.schema(), False), spark)
+    except (AttributeError, TypeError, Py4JError):
+        return made
 
 
 def checkpoint_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
@@ -54,8 +60,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+RELEASE_KEY = "spark.graphloom.release"
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects.
+
+    A collection pauses the driver: where it is shared, spark.graphloom.release=false leaves it to Spark's own cleaner.
+    """
+    if spark.conf.get(RELEASE_KEY, "true").lower() == "false":
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
