@@ -11,9 +11,11 @@ The model grows with the corpus and is never in one place. Texts become chunks o
 sorted word hashes in packed arrays, staged once and bucketed by chunk. All counts come from the same exchange: chunks
 send their distinct keys (words, pairs, triples, contexts; 64-bit hashes, combined before they leave) with partial
 sums, dealt by ranges of the hash; each range adds them up and answers every chunk with the totals of its keys. A
-word or pair that fills a third of the corpus is one key a chunk. Five exchanges: words; pairs; triples and successors
-seen once by one-word contexts; their divergences and the same for two-word contexts; and the latters' divergences.
-Keys whose total is known to be 0 are not sent.
+word or pair that fills a third of the corpus is one key a chunk. Four exchanges: words; pairs; successors seen once by
+one-word contexts; and their divergences, together with the two-word contexts, which are dealt by the context and bring
+their successors, so that a range counts these and judges the context at once. A context of HOT occurrences or more
+would bring too many to one range: its triples are dealt by their own hash, and two more exchanges add up its successors
+seen once and its divergence. Both ways give the same. Keys whose total is known to be 0 are not sent.
 
 Defined results: null text counts as empty (its end is its only token); null doc_ids train and are not held out;
 repeated rows count each and repeat their result; an empty table gives an empty result; other columns play no part.
@@ -42,13 +44,14 @@ HELD_OUT = (7, 2)
 MIN_COUNT, DIVERGENCE = 24, 3.0  # least occurrences of a context: the same at every size of the corpus
 CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
+HOT = RANGE // 8  # occurrences of a two-word context from which its successors are dealt one by one
 END = "\n"  # no word holds white space
 
 CHUNK_SCHEMA = "chunk long, docs binary, lengths binary, held binary, tokens binary, vocab binary, n_train long"
 SENT = "chunk long, kind int, part long, keys binary, sums binary"
 STATE = -1  # the kind of a row that holds a chunk with its counts
-WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO, ONE, TWO = KINDS = range(7)
-COUNTS = (WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO)
+WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO, ONE, TWO, CONTEXTS, CONTEXT_NOVEL, CONTEXT_KEPT = KINDS = range(10)
+COUNTS = (WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO, CONTEXTS, CONTEXT_NOVEL, CONTEXT_KEPT)
 
 
 def _smoothed(n, total, novel, shorter, shorter_out):
@@ -167,6 +170,26 @@ class _State:
         total = self._ask(kind, distinct, np.bincount(inverse, np.where(self.held[at], 0.0, value), len(distinct)))
         return None if total is None else total[inverse]
 
+    def _contexts(self, at: np.ndarray, keys: np.ndarray, some: np.ndarray, shorter: np.ndarray) -> tuple | None:
+        """(count, successors seen once, retained) for the tokens at places `at` and the two-word contexts (keys) of each.
+
+        Successors are sent for the tokens `some`, whose pair occurs; shorter: log of what the shorter context predicts.
+        """
+        if not len(at):
+            return np.zeros(0), np.zeros(0), np.zeros(0, bool)
+        distinct, context = np.unique(keys, return_inverse=True)
+        triples, inverse = np.unique(context[some] * len(self.vocab) + self.tokens[at[some]], return_inverse=True)
+        if CONTEXTS not in self.answers:
+            sums = np.bincount(inverse, ~self.held[at[some]], len(triples))
+            logs = np.zeros(len(triples), np.float32)
+            logs[inverse] = shorter[some]
+            here, word = np.divmod(triples, len(self.vocab))
+            self.sends[CONTEXTS] = (distinct, (np.bincount(here, minlength=len(distinct)), self.vocab[word], sums, logs))
+            return None
+        n = np.zeros(len(at))
+        n[some] = self.answers[CONTEXTS][inverse]
+        return n, self.answers[CONTEXT_NOVEL][context], self.answers[CONTEXT_KEPT][context] > 0
+
     def _per_word(self, kind: int, at: np.ndarray, value: np.ndarray) -> np.ndarray | None:
         """The same by the word before: word numbers are in the order of their hashes, so nothing is sorted."""
         before = self.tokens[at - 1]
@@ -206,32 +229,39 @@ class _State:
             n1 = np.zeros(len(tokens))
             n1[asked] = found
             self.counted = np.concatenate([words, n1]).astype(np.int32)
-        # two words
-        n_two = np.r_[0.0, n1[:-1]]
-        at2 = np.flatnonzero((self.place >= 2) & (n_two >= self.least))
-        context = pair[at2 - 1]
-        ask2 = np.flatnonzero(n1[at2] >= 1)
-        found = self._count(TRIPLES, at2[ask2], combine(context[ask2], h[at2[ask2]]))
         novel = self._per_word(NOVEL_ONE, at, n1[at] == 1)
-        if found is None or novel is None:
+        if novel is None:
             return
-        n2 = np.zeros(len(at2))
-        n2[ask2] = found
         p1, out1 = p0.copy(), out0.copy()
         p1[at], out1[at] = _smoothed(n1[at], n_ctx[at], novel, p0[at], out0[at])
         gain = self._per_word(ONE, at, np.log(out1[at] / out0[at]))
-        novel = self._per_context(NOVEL_TWO, at2, context, n2 == 1)
-        if gain is None or novel is None:
+        # two words
+        n_two = np.r_[0.0, n1[:-1]]
+        at2 = np.flatnonzero((self.place >= 2) & (n_two >= self.least))
+        hot = n_two[at2] >= HOT
+        at2, many = at2[~hot], at2[hot]
+        found = self._contexts(at2, pair[at2 - 1], np.flatnonzero(n1[at2] >= 1), np.log(out1[at2]))
+        context, occurs = pair[many - 1], np.flatnonzero(n1[many] >= 1)
+        totals = self._count(TRIPLES, many[occurs], combine(context[occurs], h[many[occurs]]))
+        if gain is None or found is None or totals is None:
             return
         tree1 = np.zeros(len(tokens), bool)
         tree1[at] = gain >= DIVERGENCE
-        p2, out2 = _smoothed(n2, n_two[at2], novel, p1[at2], out1[at2])
-        gain = self._per_context(TWO, at2, context, np.log(out2 / out1[at2]))
-        if gain is None:
-            return
-        tree2 = (gain >= DIVERGENCE) & tree1[at2]
         self.p = np.where(tree1, p1, p0)
-        self.p[at2[tree2]] = p2[tree2]
+        n2, novel, tree2 = found
+        self._use(at2, tree2 & tree1[at2], _smoothed(n2, n_two[at2], novel, p1[at2], out1[at2])[0])
+        n2 = np.zeros(len(many))
+        n2[occurs] = totals
+        novel = self._per_context(NOVEL_TWO, many, context, n2 == 1)
+        if novel is None:
+            return
+        p2, out2 = _smoothed(n2, n_two[many], novel, p1[many], out1[many])
+        gain = self._per_context(TWO, many, context, np.log(out2 / out1[many]))
+        if gain is not None:
+            self._use(many, (gain >= DIVERGENCE) & tree1[many], p2)
+
+    def _use(self, at: np.ndarray, retained: np.ndarray, p: np.ndarray) -> None:
+        self.p[at[retained]] = p[retained]
 
     def scores(self) -> pa.RecordBatch:
         starts = np.cumsum(self.lengths) - self.lengths
@@ -261,19 +291,37 @@ def _unpack(data: bytes, kind: int) -> np.ndarray:
     return x
 
 
-def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
-    """One row per hash range that has keys."""
+def _pack_successors(per_context: np.ndarray, words: np.ndarray, sums: np.ndarray, logs: np.ndarray) -> bytes:
+    data = [_pack(per_context, CONTEXTS), _planes(words), _pack(sums, CONTEXTS), _planes(logs)]
+    return b"".join([np.array([len(x) for x in data], np.int64).tobytes(), *data])
+
+
+def _unpack_successors(data: bytes) -> list[np.ndarray]:
+    a, b, c, d = (int(x) for x in 32 + np.cumsum(np.frombuffer(data, np.int64, 4)))
+    return [_unpack(data[32:a], CONTEXTS).astype(np.int64), _from_planes(data[a:b], np.uint64),
+            _unpack(data[b:c], CONTEXTS), _from_planes(data[c:d], np.float32)]
+
+
+def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray | tuple, bits: int) -> pa.RecordBatch:
+    """One row per hash range that has keys; contexts take their successors along."""
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     edges = [0, *edges, len(keys)]
     some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    if kind == CONTEXTS:
+        ends = np.r_[0, np.cumsum(sums[0])]
+        packed = [_pack_successors(sums[0][a:b], *(x[ends[a] : ends[b]] for x in sums[1:])) for _, a, b in some]
+    else:
+        packed = [_pack(sums[a:b], kind) for _, a, b in some]
     columns = [[chunk] * len(some), [kind] * len(some), [p * len(KINDS) + kind for p, _, _ in some],
-               [_planes(keys[a:b]) for _, a, b in some], [_pack(sums[a:b], kind) for _, a, b in some]]
+               [_planes(keys[a:b]) for _, a, b in some], packed]
     return texts_of.records(["chunk", "kind", "part", "keys", "sums"], columns, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
 
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     """All partial sums of one hash range and kind -> the totals, per chunk in the order of the keys it sent."""
     kind = int(rows["kind"].iloc[0])
+    if kind == CONTEXTS:
+        return _judged(rows)
     keys = [_from_planes(k, np.uint64) for k in rows["keys"]]
     sums = np.concatenate([_unpack(x, kind) for x in rows["sums"]])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -284,6 +332,31 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows["chunk"], "kind": rows["kind"], "part": rows["part"], "totals": back, "seen": seen})
 
 
+def _judged(rows: pd.DataFrame) -> pd.DataFrame:
+    """All two-word contexts of one hash range -> counts of their successors, how many were seen once, and retention."""
+    keys = [_from_planes(k, np.uint64) for k in rows["keys"]]
+    each, words, sums, logs = (list(x) for x in zip(*(_unpack_successors(x) for x in rows["sums"])))
+    contexts, context = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, word = np.unique(np.concatenate(words), return_inverse=True)
+    triples, inverse = np.unique(np.repeat(context, np.concatenate(each)) * len(distinct) + word, return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(sums), len(triples))
+    shorter = np.zeros(len(triples))
+    shorter[inverse] = np.concatenate(logs)
+    of = triples // max(1, len(distinct))
+    occurs, novel = np.bincount(of, total, len(contexts)), np.bincount(of, total == 1, len(contexts))
+    one = np.exp(shorter)
+    out = _smoothed(total, np.maximum(occurs, 1)[of], novel[of], one, one)[1]
+    kept = np.bincount(of, total * (np.log(out) - shorter), len(contexts)) >= DIVERGENCE
+    back = []
+    at = np.r_[0, np.cumsum([len(x) for x in keys])]
+    to = np.r_[0, np.cumsum([len(x) for x in words])]
+    for i, row in enumerate(zip(rows["chunk"], rows["part"])):
+        here = context[at[i] : at[i + 1]]
+        for kind, x in ((CONTEXTS, total[inverse[to[i] : to[i + 1]]]), (CONTEXT_NOVEL, novel[here]), (CONTEXT_KEPT, kept[here])):
+            back.append((row[0], kind, row[1], _pack(x, kind), 0))
+    return pd.DataFrame(back, columns=[f.split()[0] for f in ANSWER.split(", ")])
+
+
 ANSWER = "chunk long, kind int, part long, totals binary, seen long"
 BOTH = "chunk long, counts binary, kind int, part long, keys binary, sums binary"
 
@@ -378,6 +451,9 @@ class Tree:
         release(self.spark)
         self._answer(sent)
 
+    def answered(self, kind: int) -> bool:
+        return not self.answers[-1].where(F.col("kind") == kind).select("chunk").isEmpty()
+
     def scores(self) -> DataFrame:
         return self._states(lambda _, state: iter([state.scores()]), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
@@ -401,9 +477,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             spark.conf.set(per_batch, "1")  # a chunk is a row of several MB
             tree.exchange()  # words
             tree.exchange()  # pairs
-            tree.exchange_and_store()  # triples, successors seen once
-            tree.exchange()  # divergences of one-word contexts
-            tree.exchange()  # and of two-word contexts
+            tree.exchange_and_store()  # successors seen once by one-word contexts
+            tree.exchange()  # their divergences; two-word contexts
+            if tree.answered(TRIPLES):
+                tree.exchange()  # successors seen once by hot two-word contexts
+                tree.exchange()  # their divergences
             out = checkpoint(tree.scores().withColumn("train_tokens", F.lit(n).cast("long")))
         finally:
             spark.conf.set(per_batch, before)

@@ -98,9 +98,11 @@ def brute_lm(docs):
     return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def test_lm_brute(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("hot", [lm_scoring.HOT, 2 * lm_scoring.MIN_COUNT])  # all contexts whole; some dealt by successor
+def test_lm_brute(spark, sf_dir, monkeypatch, hot):
     monkeypatch.setattr(lm_scoring, "CHUNK", 9000)
     monkeypatch.setattr(lm_scoring, "RANGE", 9000)
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
     got = lm_scoring.op9_lm_scoring(spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
     d = pd.read_parquet(f"{sf_dir}/documents.parquet")
     want = brute_lm(zip(d.doc_id, d.text)).sort_values("doc_id").reset_index(drop=True)
