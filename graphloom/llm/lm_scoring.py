@@ -44,6 +44,7 @@ HELD_OUT = (7, 2)
 MIN_COUNT, DIVERGENCE = 24, 3.0  # least occurrences of a context: the same at every size of the corpus
 CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
+TURNS = 2  # of the exchange of two-word contexts: it is the largest
 HOT = RANGE // 8  # occurrences of a two-word context from which its successors are dealt one by one
 END = "\n"  # no word holds white space
 
@@ -302,11 +303,11 @@ def _unpack_successors(data: bytes) -> list[np.ndarray]:
             _unpack(data[b:c], CONTEXTS), _from_planes(data[c:d], np.float32)]
 
 
-def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray | tuple, bits: int) -> pa.RecordBatch:
-    """One row per hash range that has keys; contexts take their successors along."""
+def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray | tuple, bits: int, turn: int = 0, turns: int = 1) -> pa.RecordBatch:
+    """One row per hash range that has keys and this turn; contexts take their successors along."""
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     edges = [0, *edges, len(keys)]
-    some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a and p % turns == turn]
     if kind == CONTEXTS:
         ends = np.r_[0, np.cumsum(sums[0])]
         packed = [_pack_successors(sums[0][a:b], *(x[ends[a] : ends[b]] for x in sums[1:])) for _, a, b in some]
@@ -410,21 +411,27 @@ class Tree:
 
         return src.mapInArrow(run, schema)
 
-    def _answer(self, sent: DataFrame) -> None:
+    def _answer(self, sent: DataFrame) -> DataFrame:
         answer = self.st.write(sent.groupBy("part").applyInPandas(_totals, ANSWER), f"answers{self.made}")
         self.made += 1
-        self.answers.append(answer)
         release(self.spark)
+        return answer
 
-    def exchange(self) -> None:
-        bits = self.bits
+    def exchange(self, turns: int = 1) -> None:
+        """In several turns every hash range has its own, and the shuffle files of a turn are gone before the next."""
+        bits, made = self.bits, []
 
-        def work(row: dict, state: _State) -> Iterator[pa.RecordBatch]:
-            for kind, (keys, sums) in state.sends.items():
-                if len(keys):
-                    yield _parts(row["chunk"], kind, keys, sums, bits)
+        def sends(turn: int):
+            def work(row: dict, state: _State) -> Iterator[pa.RecordBatch]:
+                for kind, (keys, sums) in state.sends.items():
+                    if len(keys):
+                        yield _parts(row["chunk"], kind, keys, sums, bits, turn, turns)
+
+            return work
 
-        self._answer(self._states(work, SENT))
+        for turn in range(turns):  # all are asked of the same state
+            made.append(self._answer(self._states(sends(turn), SENT)))
+        self.answers += made
         if self.made == 1:
             self.v = self.answers[0].agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
 
@@ -449,10 +456,10 @@ class Tree:
             self.st.drop(f"answers{i}")
         self.answers = []
         release(self.spark)
-        self._answer(sent)
+        self.answers = [self._answer(sent)]
 
     def answered(self, kind: int) -> bool:
-        return not self.answers[-1].where(F.col("kind") == kind).select("chunk").isEmpty()
+        return any(not x.where(F.col("kind") == kind).select("chunk").isEmpty() for x in self.answers)
 
     def scores(self) -> DataFrame:
         return self._states(lambda _, state: iter([state.scores()]), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
@@ -478,7 +485,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             tree.exchange()  # words
             tree.exchange()  # pairs
             tree.exchange_and_store()  # successors seen once by one-word contexts
-            tree.exchange()  # their divergences; two-word contexts
+            tree.exchange(TURNS)  # their divergences; two-word contexts
             if tree.answered(TRIPLES):
                 tree.exchange()  # successors seen once by hot two-word contexts
                 tree.exchange()  # their divergences
