@@ -41,7 +41,7 @@ from graphloom.llm import text as texts_of
 from graphloom.session import Staging, checkpoint, release
 
 HELD_OUT = (7, 2)
-MIN_COUNT, DIVERGENCE = 24, 3.0  # least occurrences of a context: the same at every size of the corpus
+MIN_COUNT, DIVERGENCE = 2, 3.0  # least occurrences of a context (one leaves nothing to predict from): the same at every size
 CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
 TURNS = 2  # of the exchange of two-word contexts: it is the largest
