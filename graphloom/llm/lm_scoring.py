@@ -414,7 +414,6 @@ class Tree:
     def _answer(self, sent: DataFrame) -> DataFrame:
         answer = self.st.write(sent.groupBy("part").applyInPandas(_totals, ANSWER), f"answers{self.made}")
         self.made += 1
-        release(self.spark)
         return answer
 
     def exchange(self, turns: int = 1) -> None:
@@ -431,6 +430,7 @@ class Tree:
 
         for turn in range(turns):  # all are asked of the same state
             made.append(self._answer(self._states(sends(turn), SENT)))
+            release(self.spark)  # here, where nothing refers to the plan any more
         self.answers += made
         if self.made == 1:
             self.v = self.answers[0].agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
@@ -457,6 +457,8 @@ class Tree:
         self.answers = []
         release(self.spark)
         self.answers = [self._answer(sent)]
+        del sent
+        release(self.spark)
 
     def answered(self, kind: int) -> bool:
         return any(not x.where(F.col("kind") == kind).select("chunk").isEmpty() for x in self.answers)
