@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from py4j.protocol import Py4JError
@@ -71,7 +72,9 @@ def release(spark: SparkSession) -> None:
     if spark.conf.get(RELEASE_KEY, "true").lower() == "false":
         return
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.3, 0):  # Python's references are dropped in the JVM a little after the first call; the second finds them gone
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 class Staging:
