@@ -14,8 +14,10 @@ sums, dealt by ranges of the hash; each range adds them up and answers every chu
 word or pair that fills a third of the corpus is one key a chunk. Four exchanges: words; pairs; successors seen once by
 one-word contexts; and their divergences, together with the two-word contexts, which are dealt by the context and bring
 their successors, so that a range counts these and judges the context at once. A context of HOT occurrences or more
-would bring too many to one range: its triples are dealt by their own hash, and two more exchanges add up its successors
-seen once and its divergence. Both ways give the same. Keys whose total is known to be 0 are not sent.
+would bring too many to one range: its triples are dealt by their own hash, their totals become rows, and DataFrame
+aggregates judge it without another pass over the chunks. Both ways give the same. Keys whose total is known to be 0 are
+not sent. A successor is known by 48 bits of its hash within its context; what the shorter context predicts travels in
+steps of 1 / STEPS nats, for the divergence test alone.
 
 Defined results: null text counts as empty (its end is its only token); null doc_ids train and are not held out;
 repeated rows count each and repeat their result; an empty table gives an empty result; other columns play no part.
@@ -46,13 +48,13 @@ CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
 TURNS = 2  # of the exchange of two-word contexts: it is the largest
 HOT = RANGE // 8  # occurrences of a two-word context from which its successors are dealt one by one
+STEPS = 1024  # of a nat
 END = "\n"  # no word holds white space
 
 CHUNK_SCHEMA = "chunk long, docs binary, lengths binary, held binary, tokens binary, vocab binary, n_train long"
 SENT = "chunk long, kind int, part long, keys binary, sums binary"
 STATE = -1  # the kind of a row that holds a chunk with its counts
-WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO, ONE, TWO, CONTEXTS, CONTEXT_NOVEL, CONTEXT_KEPT = KINDS = range(10)
-COUNTS = (WORDS, PAIRS, TRIPLES, NOVEL_ONE, NOVEL_TWO, CONTEXTS, CONTEXT_NOVEL, CONTEXT_KEPT)
+WORDS, PAIRS, TRIPLES, NOVEL_ONE, ONE, CONTEXTS, CONTEXT_NOVEL, CONTEXT_KEPT, HOT_CONTEXTS, SUCCESSORS, ONE_KEPT = KINDS = range(11)
 
 
 def _smoothed(n, total, novel, shorter, shorter_out):
@@ -73,14 +75,17 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(32))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Integers by byte planes: the upper planes are long runs, which a codec takes out."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+def _planes(x: np.ndarray, width: int | None = None) -> bytes:
+    """Integers by byte planes (the lowest `width`): the upper planes are long runs, which a codec takes out."""
+    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T[:width].tobytes()
 
 
-def _from_planes(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _from_planes(data: bytes, kind: type, width: int | None = None) -> np.ndarray:
+    whole = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(width or whole, -1)
+    x = np.zeros((planes.shape[1], whole), np.uint8)
+    x[:, : len(planes)] = planes.T
+    return x.view(kind).ravel()
 
 
 class _Packer:
@@ -154,8 +159,9 @@ class _State:
 
     def _ask(self, kind: int, keys: np.ndarray, sums: np.ndarray) -> np.ndarray | None:
         """Totals of keys over all chunks, if answered; else what to send. keys are distinct and ascending."""
-        if kind in self.answers or not len(keys):
-            return self.answers.get(kind, np.zeros(0))
+        told = ONE_KEPT if kind == ONE else kind
+        if told in self.answers or not len(keys):
+            return self.answers.get(told, np.zeros(0))
         self.sends[kind] = (keys, sums)
         return None
 
@@ -165,12 +171,6 @@ class _State:
         total = self._ask(kind, distinct, np.bincount(inverse, ~self.held[at], len(distinct)))
         return None if total is None else total[inverse]
 
-    def _per_context(self, kind: int, at: np.ndarray, keys: np.ndarray, value: np.ndarray) -> np.ndarray | None:
-        """value of the training tokens at places `at`, summed by the two-word context (key) of each."""
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        total = self._ask(kind, distinct, np.bincount(inverse, np.where(self.held[at], 0.0, value), len(distinct)))
-        return None if total is None else total[inverse]
-
     def _contexts(self, at: np.ndarray, keys: np.ndarray, some: np.ndarray, shorter: np.ndarray) -> tuple | None:
         """(count, successors seen once, retained) for the tokens at places `at` and the two-word contexts (keys) of each.
 
@@ -182,15 +182,33 @@ class _State:
         triples, inverse = np.unique(context[some] * len(self.vocab) + self.tokens[at[some]], return_inverse=True)
         if CONTEXTS not in self.answers:
             sums = np.bincount(inverse, ~self.held[at[some]], len(triples))
-            logs = np.zeros(len(triples), np.float32)
-            logs[inverse] = shorter[some]
             here, word = np.divmod(triples, len(self.vocab))
-            self.sends[CONTEXTS] = (distinct, (np.bincount(here, minlength=len(distinct)), self.vocab[word], sums, logs))
+            steps = _steps(shorter[some], inverse, len(triples))
+            self.sends[CONTEXTS] = (distinct, (np.bincount(here, minlength=len(distinct)), self.vocab[word] >> np.uint64(16), sums, steps))
             return None
         n = np.zeros(len(at))
         n[some] = self.answers[CONTEXTS][inverse]
         return n, self.answers[CONTEXT_NOVEL][context], self.answers[CONTEXT_KEPT][context] > 0
 
+    def _hot_contexts(self, at: np.ndarray, keys: np.ndarray, some: np.ndarray, shorter: np.ndarray) -> tuple | None:
+        """The same for contexts of HOT occurrences or more, whose triples are dealt one by one."""
+        if not len(at):
+            return np.zeros(0), np.zeros(0), np.zeros(0, bool)
+        distinct, context = np.unique(keys, return_inverse=True)
+        triples, inverse = np.unique(combine(keys[some], self.vocab[self.tokens[at[some]]]), return_inverse=True)
+        if HOT_CONTEXTS not in self.answers:
+            of = np.zeros(len(triples), np.uint64)
+            of[inverse] = keys[some]
+            sums = np.bincount(inverse, ~self.held[at[some]], len(triples))
+            self.sends[HOT_CONTEXTS] = (distinct, np.zeros(len(distinct)))
+            self.sends[TRIPLES] = (triples, (of, sums, _steps(shorter[some], inverse, len(triples))))
+            return None
+        n = np.zeros(len(at))
+        if len(some):
+            n[some] = self.answers[TRIPLES][inverse]
+        novel, kept = self.answers[HOT_CONTEXTS].reshape(2, -1)
+        return n, novel[context], kept[context] > 0
+
     def _per_word(self, kind: int, at: np.ndarray, value: np.ndarray) -> np.ndarray | None:
         """The same by the word before: word numbers are in the order of their hashes, so nothing is sorted."""
         before = self.tokens[at - 1]
@@ -235,34 +253,23 @@ class _State:
             return
         p1, out1 = p0.copy(), out0.copy()
         p1[at], out1[at] = _smoothed(n1[at], n_ctx[at], novel, p0[at], out0[at])
-        gain = self._per_word(ONE, at, np.log(out1[at] / out0[at]))
+        kept = self._per_word(ONE, at, np.log(out1[at] / out0[at]))
         # two words
         n_two = np.r_[0.0, n1[:-1]]
         at2 = np.flatnonzero((self.place >= 2) & (n_two >= self.least))
         hot = n_two[at2] >= HOT
         at2, many = at2[~hot], at2[hot]
         found = self._contexts(at2, pair[at2 - 1], np.flatnonzero(n1[at2] >= 1), np.log(out1[at2]))
-        context, occurs = pair[many - 1], np.flatnonzero(n1[many] >= 1)
-        totals = self._count(TRIPLES, many[occurs], combine(context[occurs], h[many[occurs]]))
-        if gain is None or found is None or totals is None:
+        found_hot = self._hot_contexts(many, pair[many - 1], np.flatnonzero(n1[many] >= 1), np.log(out1[many]))
+        if kept is None or found is None or found_hot is None:
             return
         tree1 = np.zeros(len(tokens), bool)
-        tree1[at] = gain >= DIVERGENCE
+        tree1[at] = kept > 0
         self.p = np.where(tree1, p1, p0)
-        n2, novel, tree2 = found
-        self._use(at2, tree2 & tree1[at2], _smoothed(n2, n_two[at2], novel, p1[at2], out1[at2])[0])
-        n2 = np.zeros(len(many))
-        n2[occurs] = totals
-        novel = self._per_context(NOVEL_TWO, many, context, n2 == 1)
-        if novel is None:
-            return
-        p2, out2 = _smoothed(n2, n_two[many], novel, p1[many], out1[many])
-        gain = self._per_context(TWO, many, context, np.log(out2 / out1[many]))
-        if gain is not None:
-            self._use(many, (gain >= DIVERGENCE) & tree1[many], p2)
-
-    def _use(self, at: np.ndarray, retained: np.ndarray, p: np.ndarray) -> None:
-        self.p[at[retained]] = p[retained]
+        for some, (n2, novel, tree2) in ((at2, found), (many, found_hot)):
+            p2 = _smoothed(n2, n_two[some], novel, p1[some], out1[some])[0]
+            use = tree2 & tree1[some]
+            self.p[some[use]] = p2[use]
 
     def scores(self) -> pa.RecordBatch:
         starts = np.cumsum(self.lengths) - self.lengths
@@ -274,17 +281,24 @@ class _State:
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _steps(shorter: np.ndarray, inverse: np.ndarray, size: int) -> np.ndarray:
+    """-log of what the shorter context predicts, in steps; up to 64 nats."""
+    steps = np.zeros(size, np.uint16)
+    steps[inverse] = np.minimum(np.rint(-shorter * STEPS), 65535).astype(np.uint16)
+    return steps
+
+
 def _pack(x: np.ndarray, kind: int) -> bytes:
-    """Counts as one byte each, and apart the few that need more; other sums as doubles."""
-    if kind not in COUNTS:
-        return x.astype(np.float64).tobytes()
+    """Counts and flags as one byte each, and apart the few that need more; divergences in single precision."""
+    if kind == ONE:
+        return x.astype(np.float32).tobytes()
     big = np.flatnonzero(x >= 255)
     return b"".join([np.int64(len(x)).tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes(), big.astype(np.int64).tobytes(), x[big].astype(np.int64).tobytes()])
 
 
 def _unpack(data: bytes, kind: int) -> np.ndarray:
-    if kind not in COUNTS:
-        return np.frombuffer(data, np.float64)
+    if kind == ONE:
+        return np.frombuffer(data, np.float32).astype(np.float64)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     x = np.frombuffer(data, np.uint8, n, 8).astype(np.float64)
     big, value = np.frombuffer(data[8 + n :], np.int64).reshape(2, -1)
@@ -292,15 +306,23 @@ def _unpack(data: bytes, kind: int) -> np.ndarray:
     return x
 
 
-def _pack_successors(per_context: np.ndarray, words: np.ndarray, sums: np.ndarray, logs: np.ndarray) -> bytes:
-    data = [_pack(per_context, CONTEXTS), _planes(words), _pack(sums, CONTEXTS), _planes(logs)]
+def _join(*data: bytes) -> bytes:
     return b"".join([np.array([len(x) for x in data], np.int64).tobytes(), *data])
 
 
-def _unpack_successors(data: bytes) -> list[np.ndarray]:
-    a, b, c, d = (int(x) for x in 32 + np.cumsum(np.frombuffer(data, np.int64, 4)))
-    return [_unpack(data[32:a], CONTEXTS).astype(np.int64), _from_planes(data[a:b], np.uint64),
-            _unpack(data[b:c], CONTEXTS), _from_planes(data[c:d], np.float32)]
+def _split(data: bytes, size: int) -> list[bytes]:
+    ends = 8 * size + np.cumsum(np.frombuffer(data, np.int64, size))
+    return [data[a:b] for a, b in zip([8 * size, *ends], ends)]
+
+
+def _pack_sums(kind: int, a: int, b: int, sums: np.ndarray | tuple, ends: np.ndarray | None) -> bytes:
+    """What goes with keys a to b: partial sums; of contexts their successors; of hot triples their contexts."""
+    if kind == CONTEXTS:
+        each, words, counts, steps = sums[0][a:b], *(x[ends[a] : ends[b]] for x in sums[1:])
+        return _join(_pack(each, kind), _planes(words, 6), _pack(counts, kind), _planes(steps))
+    if kind == TRIPLES:
+        return _join(_planes(sums[0][a:b]), _pack(sums[1][a:b], kind), _planes(sums[2][a:b]))
+    return _pack(sums[a:b], kind)
 
 
 def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray | tuple, bits: int, turn: int = 0, turns: int = 1) -> pa.RecordBatch:
@@ -308,11 +330,8 @@ def _parts(chunk: int, kind: int, keys: np.ndarray, sums: np.ndarray | tuple, bi
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     edges = [0, *edges, len(keys)]
     some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a and p % turns == turn]
-    if kind == CONTEXTS:
-        ends = np.r_[0, np.cumsum(sums[0])]
-        packed = [_pack_successors(sums[0][a:b], *(x[ends[a] : ends[b]] for x in sums[1:])) for _, a, b in some]
-    else:
-        packed = [_pack(sums[a:b], kind) for _, a, b in some]
+    ends = np.r_[0, np.cumsum(sums[0])] if kind == CONTEXTS else None
+    packed = [_pack_sums(kind, a, b, sums, ends) for _, a, b in some]
     columns = [[chunk] * len(some), [kind] * len(some), [p * len(KINDS) + kind for p, _, _ in some],
                [_planes(keys[a:b]) for _, a, b in some], packed]
     return texts_of.records(["chunk", "kind", "part", "keys", "sums"], columns, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
@@ -323,26 +342,40 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     kind = int(rows["kind"].iloc[0])
     if kind == CONTEXTS:
         return _judged(rows)
-    keys = [_from_planes(k, np.uint64) for k in rows["keys"]]
-    sums = np.concatenate([_unpack(x, kind) for x in rows["sums"]])
+    if kind == HOT_CONTEXTS:  # judged later: the keys go back as they came
+        return rows[["chunk", "kind", "part"]].assign(totals=rows["keys"], seen=0)
+    keys, sums = [_from_planes(k, np.uint64) for k in rows["keys"]], list(rows["sums"])
+    if kind == TRIPLES:
+        of, sums, steps = zip(*(_split(x, 3) for x in sums))
+    sums = np.concatenate([_unpack(x, kind) for x in sums])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, sums, len(distinct))
     ends = np.cumsum([len(k) for k in keys])
-    back = [_pack(total[inverse[e - len(k) : e]], kind) for k, e in zip(keys, ends)]
+    told, total = (ONE_KEPT, total >= DIVERGENCE) if kind == ONE else (kind, total)
+    back = [_pack(total[inverse[e - len(k) : e]], told) for k, e in zip(keys, ends)]
     seen = [int((total > 0).sum())] + [0] * (len(rows) - 1)
-    return pd.DataFrame({"chunk": rows["chunk"], "kind": rows["kind"], "part": rows["part"], "totals": back, "seen": seen})
+    out = pd.DataFrame({"chunk": rows["chunk"], "kind": told, "part": rows["part"], "totals": back, "seen": seen})
+    if kind == TRIPLES:
+        context, step = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint16)
+        context[inverse] = np.concatenate([_from_planes(x, np.uint64) for x in of])
+        step[inverse] = np.concatenate([_from_planes(x, np.uint16) for x in steps])
+        once = _join(_planes(context), _planes(total.astype(np.int64)), _planes(step))
+        out.loc[len(out)] = (-1, SUCCESSORS, int(rows["part"].iloc[0]), once, 0)
+    return out
 
 
 def _judged(rows: pd.DataFrame) -> pd.DataFrame:
     """All two-word contexts of one hash range -> counts of their successors, how many were seen once, and retention."""
     keys = [_from_planes(k, np.uint64) for k in rows["keys"]]
-    each, words, sums, logs = (list(x) for x in zip(*(_unpack_successors(x) for x in rows["sums"])))
+    each, words, sums, steps = zip(*(_split(x, 4) for x in rows["sums"]))
+    each = np.concatenate([_unpack(x, CONTEXTS) for x in each]).astype(np.int64)
+    words, sums = [_from_planes(x, np.uint64, 6) for x in words], np.concatenate([_unpack(x, CONTEXTS) for x in sums])
     contexts, context = np.unique(np.concatenate(keys), return_inverse=True)
     distinct, word = np.unique(np.concatenate(words), return_inverse=True)
-    triples, inverse = np.unique(np.repeat(context, np.concatenate(each)) * len(distinct) + word, return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(sums), len(triples))
+    triples, inverse = np.unique(np.repeat(context, each) * len(distinct) + word, return_inverse=True)
+    total = np.bincount(inverse, sums, len(triples))
     shorter = np.zeros(len(triples))
-    shorter[inverse] = np.concatenate(logs)
+    shorter[inverse] = np.concatenate([_from_planes(x, np.uint16) for x in steps]) / -float(STEPS)
     of = triples // max(1, len(distinct))
     occurs, novel = np.bincount(of, total, len(contexts)), np.bincount(of, total == 1, len(contexts))
     one = np.exp(shorter)
@@ -358,6 +391,32 @@ def _judged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(back, columns=[f.split()[0] for f in ANSWER.split(", ")])
 
 
+def _successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            context, total, step = _split(data, 3)
+            arrays = [_from_planes(context, np.int64), _from_planes(total, np.int64), _from_planes(step, np.uint16) / -float(STEPS)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["context", "n", "shorter"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            context = _from_planes(data, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(context), chunk)), pa.array(context)], names=["chunk", "context"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hot contexts of each chunk, in the order of their hashes."""
+    for batch in batches:
+        for chunk, got in zip(batch.column(0).to_pylist(), batch.column(1)):
+            context, novel, kept = (x.to_numpy() for x in got.values.flatten())
+            order = np.argsort(context.view(np.uint64))
+            told = _pack(np.r_[novel[order], kept[order]], HOT_CONTEXTS)
+            yield texts_of.records([f.split()[0] for f in ANSWER.split(", ")], [[chunk], [HOT_CONTEXTS], [0], [told], [0]],
+                                   [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()])
+
+
 ANSWER = "chunk long, kind int, part long, totals binary, seen long"
 BOTH = "chunk long, counts binary, kind int, part long, keys binary, sums binary"
 
@@ -372,10 +431,10 @@ class Tree:
         self.answers: list[DataFrame] = []
         self.made = 0
 
-    def store(self, rows: DataFrame) -> DataFrame:
+    def store(self, rows: DataFrame, *by: str) -> DataFrame:
         """A table bucketed by chunk: joins with it move only what is not."""
         name = f"{self.name}_{len(self.tables)}"
-        rows.write.bucketBy(self.buckets, "chunk").option("path", self.st.path(name)).option("compression", "zstd").saveAsTable(name)
+        rows.write.partitionBy(*by).bucketBy(self.buckets, "chunk").option("path", self.st.path(name)).option("compression", "zstd").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
@@ -451,15 +510,33 @@ class Tree:
                     count_ = len(some["chunk"])
                     yield texts_of.records(names, [some.get(f, [None] * count_) for f in names], types)
 
-        sent = self.store(self._states(work, BOTH)).where(F.col("kind") != STATE).drop("counts")
+        sent = self.store(self._states(work, BOTH), "kind").where(F.col("kind") != STATE).drop("counts")
         for i in range(self.made):
             self.st.drop(f"answers{i}")
         self.answers = []
         release(self.spark)
         self.answers = [self._answer(sent)]
         del sent
+        self.st.drop(f"{self.tables[-1]}/kind={NOVEL_ONE}")
         release(self.spark)
 
+    def judge_hot(self) -> None:
+        """Retention of the hot contexts from the totals of their triples, which are rows here, and an answer for each chunk."""
+        every = self.answers[0]
+        for x in self.answers[1:]:
+            every = every.unionByName(x)
+        rows = every.where(F.col("kind") == SUCCESSORS).select("totals").mapInArrow(_successors, "context long, n long, shorter double")
+        sums = rows.groupBy("context").agg(F.sum("n").alias("occurs"), F.count_if(F.col("n") == 1).alias("novel"))
+        n, occurs, share = F.col("n"), F.col("occurs"), (F.col("novel") + 0.5) / (F.col("occurs") + 1)
+        out = (1 - share) * F.greatest(n - 1, F.lit(0)) / F.greatest(occurs - 1, F.lit(1)) + share * F.exp("shorter")
+        gain = F.sum(n * (F.log(out) - F.col("shorter")))
+        judged = rows.join(sums, "context").groupBy("context").agg(F.max("novel").alias("novel"), (gain >= DIVERGENCE).cast("int").alias("kept"))
+        asked = every.where(F.col("kind") == HOT_CONTEXTS).select("chunk", "totals").mapInArrow(_asked, "chunk long, context long")
+        told = F.struct("context", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("novel", "kept")])
+        told = asked.join(judged, "context", "left").groupBy("chunk").agg(F.collect_list(told).alias("got"))
+        answer = self.st.write(told.mapInArrow(_packed, ANSWER), "hot")
+        self.answers = [x.where(~F.col("kind").isin(SUCCESSORS, HOT_CONTEXTS)) for x in self.answers] + [answer]
+
     def answered(self, kind: int) -> bool:
         return any(not x.where(F.col("kind") == kind).select("chunk").isEmpty() for x in self.answers)
 
@@ -488,9 +565,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             tree.exchange()  # pairs
             tree.exchange_and_store()  # successors seen once by one-word contexts
             tree.exchange(TURNS)  # their divergences; two-word contexts
-            if tree.answered(TRIPLES):
-                tree.exchange()  # successors seen once by hot two-word contexts
-                tree.exchange()  # their divergences
+            if tree.answered(HOT_CONTEXTS):
+                tree.judge_hot()
             out = checkpoint(tree.scores().withColumn("train_tokens", F.lit(n).cast("long")))
         finally:
             spark.conf.set(per_batch, before)
