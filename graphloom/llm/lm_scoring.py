@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -157,21 +157,21 @@ class _State:
         self.least = MIN_COUNT
         self._grow()
 
-    def _ask(self, kind: int, keys: np.ndarray, sums: np.ndarray) -> np.ndarray | None:
-        """Totals of keys over all chunks, if answered; else what to send. keys are distinct and ascending."""
+    def _ask(self, kind: int, keys: np.ndarray, sums: Callable[[], np.ndarray]) -> np.ndarray | None:
+        """Totals of keys over all chunks, if answered; else what to send, made only then. keys are distinct and ascending."""
         told = ONE_KEPT if kind == ONE else kind
         if told in self.answers or not len(keys):
             return self.answers.get(told, np.zeros(0))
-        self.sends[kind] = (keys, sums)
+        self.sends[kind] = (keys, sums())
         return None
 
     def _count(self, kind: int, at: np.ndarray, keys: np.ndarray) -> np.ndarray | None:
         """Counts in the training text of keys, which are those of the tokens at places `at`."""
         distinct, inverse = np.unique(keys, return_inverse=True)
-        total = self._ask(kind, distinct, np.bincount(inverse, ~self.held[at], len(distinct)))
+        total = self._ask(kind, distinct, lambda: np.bincount(inverse, ~self.held[at], len(distinct)))
         return None if total is None else total[inverse]
 
-    def _contexts(self, at: np.ndarray, keys: np.ndarray, some: np.ndarray, shorter: np.ndarray) -> tuple | None:
+    def _contexts(self, at: np.ndarray, keys: np.ndarray, some: np.ndarray, shorter: Callable[[], np.ndarray]) -> tuple | None:
         """(count, successors seen once, retained) for the tokens at places `at` and the two-word contexts (keys) of each.
 
         Successors are sent for the tokens `some`, whose pair occurs; shorter: log of what the shorter context predicts.
@@ -183,14 +183,14 @@ class _State:
         if CONTEXTS not in self.answers:
             sums = np.bincount(inverse, ~self.held[at[some]], len(triples))
             here, word = np.divmod(triples, len(self.vocab))
-            steps = _steps(shorter[some], inverse, len(triples))
+            steps = _steps(shorter()[some], inverse, len(triples))
             self.sends[CONTEXTS] = (distinct, (np.bincount(here, minlength=len(distinct)), self.vocab[word] >> np.uint64(16), sums, steps))
             return None
         n = np.zeros(len(at))
         n[some] = self.answers[CONTEXTS][inverse]
         return n, self.answers[CONTEXT_NOVEL][context], self.answers[CONTEXT_KEPT][context] > 0
 
-    def _hot_contexts(self, at: np.ndarray, keys: np.ndarray, some: np.ndarray, shorter: np.ndarray) -> tuple | None:
+    def _hot_contexts(self, at: np.ndarray, keys: np.ndarray, some: np.ndarray, shorter: Callable[[], np.ndarray]) -> tuple | None:
         """The same for contexts of HOT occurrences or more, whose triples are dealt one by one."""
         if not len(at):
             return np.zeros(0), np.zeros(0), np.zeros(0, bool)
@@ -201,7 +201,7 @@ class _State:
             of[inverse] = keys[some]
             sums = np.bincount(inverse, ~self.held[at[some]], len(triples))
             self.sends[HOT_CONTEXTS] = (distinct, np.zeros(len(distinct)))
-            self.sends[TRIPLES] = (triples, (of, sums, _steps(shorter[some], inverse, len(triples))))
+            self.sends[TRIPLES] = (triples, (of, sums, _steps(shorter()[some], inverse, len(triples))))
             return None
         n = np.zeros(len(at))
         if len(some):
@@ -209,13 +209,12 @@ class _State:
         novel, kept = self.answers[HOT_CONTEXTS].reshape(2, -1)
         return n, novel[context], kept[context] > 0
 
-    def _per_word(self, kind: int, at: np.ndarray, value: np.ndarray) -> np.ndarray | None:
+    def _per_word(self, kind: int, at: np.ndarray, value: Callable[[], np.ndarray]) -> np.ndarray | None:
         """The same by the word before: word numbers are in the order of their hashes, so nothing is sorted."""
         before = self.tokens[at - 1]
         here = np.zeros(len(self.vocab), bool)
         here[before] = True
-        sums = np.bincount(before, np.where(self.held[at], 0.0, value), len(self.vocab))
-        total = self._ask(kind, self.vocab[here], sums[here])
+        total = self._ask(kind, self.vocab[here], lambda: np.bincount(before, np.where(self.held[at], 0.0, value()), len(self.vocab))[here])
         if total is None:
             return None
         by_word = np.zeros(len(self.vocab))
@@ -224,7 +223,7 @@ class _State:
 
     def _grow(self) -> None:
         tokens, train, size = self.tokens, ~self.held, len(self.vocab)
-        words = self.counts[:size] if self.counts is not None else self._ask(WORDS, self.vocab, np.bincount(tokens, train, size))
+        words = self.counts[:size] if self.counts is not None else self._ask(WORDS, self.vocab, lambda: np.bincount(tokens, train, size))
         if words is None:
             return
         self.c = words[tokens].astype(np.float64)
@@ -248,19 +247,19 @@ class _State:
             n1 = np.zeros(len(tokens))
             n1[asked] = found
             self.counted = np.concatenate([words, n1]).astype(np.int32)
-        novel = self._per_word(NOVEL_ONE, at, n1[at] == 1)
+        novel = self._per_word(NOVEL_ONE, at, lambda: n1[at] == 1)
         if novel is None:
             return
         p1, out1 = p0.copy(), out0.copy()
         p1[at], out1[at] = _smoothed(n1[at], n_ctx[at], novel, p0[at], out0[at])
-        kept = self._per_word(ONE, at, np.log(out1[at] / out0[at]))
+        kept = self._per_word(ONE, at, lambda: np.log(out1[at] / out0[at]))
         # two words
         n_two = np.r_[0.0, n1[:-1]]
         at2 = np.flatnonzero((self.place >= 2) & (n_two >= self.least))
         hot = n_two[at2] >= HOT
         at2, many = at2[~hot], at2[hot]
-        found = self._contexts(at2, pair[at2 - 1], np.flatnonzero(n1[at2] >= 1), np.log(out1[at2]))
-        found_hot = self._hot_contexts(many, pair[many - 1], np.flatnonzero(n1[many] >= 1), np.log(out1[many]))
+        found = self._contexts(at2, pair[at2 - 1], np.flatnonzero(n1[at2] >= 1), lambda: np.log(out1[at2]))
+        found_hot = self._hot_contexts(many, pair[many - 1], np.flatnonzero(n1[many] >= 1), lambda: np.log(out1[many]))
         if kept is None or found is None or found_hot is None:
             return
         tree1 = np.zeros(len(tokens), bool)
