@@ -1,12 +1,14 @@
 """Hand graphs, invariants and every query against its oracle."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from graphloom.graph import Graph
 from graphloom.operators import betweenness, bfs, components, katz, pagerank, triangles
 from graphloom.operators.stars import star_components
 from graphloom.plans import registry
+from graphloom.session import Staging
 from graphloom.sources import generators, readers, updates
 from graphloom.streaming.incremental import BATCH, KatzState, TriangleState, run_stream
 
@@ -213,3 +215,23 @@ def test_empty_graph(spark):
     g = Graph.from_edges(spark.createDataFrame([], "src long, dst long"))
     assert pagerank.page_rank(g)[0].count() == 0 and triangles.per_vertex(g).count() == 0
     assert components.connected_components(g).count() == 0 and bfs.bfs(g, 0).count() == 0
+
+
+def test_triangles_in_turns_shuffle_no_wedges(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (500, 2)) if a != b}
+    edges = spark.createDataFrame(sorted(pairs) + [(b, a) for a, b in sorted(pairs)], "src long, dst long")
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(60)}
+    want = {v: 2 * sum(1 for a in near[v] for b in near[v] if a < b and (a, b) in pairs) for v in range(60) if near[v]}
+    for graph in (Graph.from_edges(edges), Graph.from_pairs(edges.where("src < dst"))):
+        assert as_dict(triangles.per_vertex(graph, turn=100)) == want
+        assert triangles.total(graph, turn=100).first()["six"] == sum(want.values())
+    far = Graph.from_edges(edges.selectExpr("src - 5000000000 AS src", "dst - 5000000000 AS dst"))  # ids beyond 31 bits
+    assert as_dict(triangles.per_vertex(far, turn=200)) == {v - 5000000000: n for v, n in want.items()}
+    with Staging(spark, "test") as st:
+        wedges = triangles._Wedges(Graph.from_edges(edges), st, 100)
+        found = wedges.closed(0)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert wedges.turns > 1 and "BroadcastHashJoin" in plan and "hashpartitioning(x" not in plan and "hashpartitioning(pair" not in plan
+        wedges.close()
