@@ -1,7 +1,9 @@
 """Betweenness centrality by Brandes' accumulation from many roots at once.
 
-A graph counted to be small is broadcast, and tasks take groups of roots (operators.small). Beyond, state is keyed by
-(root, id); roots go in blocks whose state, a row per vertex and root at most, stays at about STATE rows. Scores are not
+A graph counted to be small is broadcast, and tasks take groups of roots (operators.small). Beyond, paths never leave a
+component, so components are dealt to tasks, with slices of their roots: state stays in the tasks. Only components that
+are too large for a task go by joins, with state keyed by (root, id); roots go in blocks whose state, a row per vertex and
+root at most, stays at about STATE rows. Scores are not
 normalised and not halved; sampled roots are not rescaled unless asked.
 """
 
@@ -12,10 +14,11 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import small as kernels
+from graphloom.operators.components import connected_components
 from graphloom.session import checkpoint, checkpoint_measured, small
 from graphloom.sources.generators import draw
 
-STATE = 2_000_000_000  # rows of (root, id) of a block, over all executors
+STATE = 50_000_000  # rows of (root, id) of a block, over all executors
 
 
 def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
@@ -33,15 +36,45 @@ def sample_roots(graph: Graph, k: int, seed: int = 7) -> DataFrame:
     return draws.join(numbered, "pick").select("root")
 
 
-def levels(graph: Graph, roots: DataFrame) -> DataFrame:
-    """(root, id, level, sigma): depth and number of shortest paths of every vertex that each root reaches."""
+def _by_components(graph: Graph, roots: DataFrame, bound: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, roots) of components of at most `bound` edges, with their label, and (edges, roots) of larger ones.
+
+    Roots without edges are in neither.
+    """
+    labels = checkpoint(connected_components(Graph.from_edges(graph.edges)))
+    edges = graph.edges.select("src", "dst").join(labels.withColumnRenamed("id", "src"), "src").select("src", "dst", "label")
+    edges, seen = checkpoint_measured(edges, n=F.count(F.lit(1)))
+    large = edges.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > bound).select("label")
+    large = checkpoint(large) if seen["n"] > bound else large.limit(0)  # fewer than seen / bound
+    roots = checkpoint(roots.join(labels.withColumnRenamed("id", "root"), "root").select("root", "times", "label"))
+    part = lambda df, how: df.join(F.broadcast(large), "label", how)
+    return part(edges, "left_anti"), part(roots, "left_anti"), part(edges, "left_semi"), part(roots, "left_semi")
+
+
+def levels(graph: Graph, roots: DataFrame, local_edges: int = kernels.LOCAL_EDGES, component_edges: int = kernels.LOCAL_EDGES) -> DataFrame:
+    """(root, id, level, sigma): depth and number of shortest paths of every vertex that each root reaches.
+
+    local_edges: edges up to which the graph is broadcast; component_edges: and up to which a component is one task's.
+    """
+    roots = checkpoint(roots.select("root").distinct().withColumn("times", F.lit(1).cast("long")))
+    if kernels.is_small(graph.edges, local_edges):
+        return kernels.over_roots(kernels.LEVELS, graph.edges, roots)
+    every = None
+    if component_edges > 0:
+        edges, some, large, roots_ = _by_components(graph, roots, component_edges)
+        every = kernels.over_components(kernels.LEVELS, edges, some)
+        ends = graph.edges.select(F.col("src").alias("root")).unionByName(graph.edges.select(F.col("dst").alias("root")))
+        alone = roots.join(ends, "root", "left_anti")
+        every = every.unionByName(alone.select("root", F.col("root").alias("id"), F.lit(0).alias("level"), F.lit(1.0).alias("sigma")))
+        if roots_.isEmpty():
+            return every
+        graph, roots = Graph.from_edges(large), roots_
     edges = graph.by_source()
     found = _forward(edges, checkpoint(roots.select("root").distinct()))
-    out = [x.select("root", "id", F.lit(d).alias("level"), "sigma") for d, (x, _) in enumerate(found)]
     edges.unpersist()
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
+    for d, (x, _) in enumerate(found):
+        x = x.select("root", "id", F.lit(d).alias("level"), "sigma")
+        every = x if every is None else every.unionByName(x)
     return every
 
 
@@ -85,11 +118,12 @@ def _block(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def betweenness(
     graph: Graph, roots: DataFrame | None = None, block: int | None = None, normalized: bool = False, scale: bool = False,
-    local_edges: int = kernels.LOCAL_EDGES,
+    local_edges: int = kernels.LOCAL_EDGES, component_edges: int = kernels.LOCAL_EDGES,
 ) -> DataFrame:
     """(id, bc) of the universe. roots(root): all vertices if None; a root listed twice counts twice.
 
-    block: roots of a block (by STATE, if None); local_edges: edges up to which the graph is broadcast.
+    block: roots of a block (by STATE, if None); local_edges: edges up to which the graph is broadcast; component_edges: and
+    up to which a component is one task's; larger ones go by distributed joins.
     """
     chosen = graph.vertices.select(F.col("id").alias("root")) if roots is None else roots.select("root")
     chosen = checkpoint(chosen.groupBy("root").agg(F.count(F.lit(1)).alias("times")))
@@ -98,9 +132,16 @@ def betweenness(
     ).first()
     parts = []
     if kernels.is_small(graph.edges, local_edges):
-        parts.append(kernels.betweenness_parts(graph.edges, chosen))
+        parts.append(kernels.over_roots(kernels.DEPENDENT, graph.edges, chosen))
+        distinct = 0
+    elif component_edges > 0:
+        edges, some, large, chosen = _by_components(graph, chosen, component_edges)
+        parts.append(kernels.over_components(kernels.DEPENDENT, edges, some))
+        distinct, searched = chosen.count(), Graph.from_edges(large)
     else:
-        edges = graph.by_source()
+        searched = graph
+    if distinct:
+        edges = searched.by_source()
         blocks = max(1, -(-distinct // (block or max(1, STATE // max(1, n)))))
         for times in range(1, most + 1):  # draws beyond the first are few
             for b in range(blocks):

@@ -235,3 +235,20 @@ def test_triangles_in_turns_shuffle_no_wedges(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert wedges.turns > 1 and "BroadcastHashJoin" in plan and "hashpartitioning(x" not in plan and "hashpartitioning(pair" not in plan
         wedges.close()
+
+
+def test_betweenness_by_components(spark):
+    """Components dealt to tasks, the broadcast graph and the joins give the same, whatever component is too large."""
+    rng = np.random.default_rng(11)
+    pairs = {(int(a) + 30 * g, int(b) + 30 * g) for g in range(4) for a, b in rng.integers(0, 30, (20 + 15 * g, 2)) if a != b}
+    edges = spark.createDataFrame([(a, b) for a, b in pairs] + [(b, a) for a, b in pairs], "src long, dst long").distinct()
+    g = Graph.from_edges(edges, spark.range(130).select("id"))
+    roots = spark.createDataFrame([(i,) for i in range(0, 130, 3)] + [(3,), (129,)], "root long")
+    near = lambda x, y: x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-9 for k in x)
+    want = as_dict(betweenness.betweenness(g, roots, local_edges=0, component_edges=0))
+    deep = {tuple(r) for r in betweenness.levels(g, roots, local_edges=0, component_edges=0).collect()}
+    assert sum(want.values()) > 0
+    for local, component in ((1000, 1000), (0, 1000), (0, 60)):
+        assert near(as_dict(betweenness.betweenness(g, roots, local_edges=local, component_edges=component)), want)
+        got = [tuple(r) for r in betweenness.levels(g, roots, local_edges=local, component_edges=component).collect()]
+        assert len(got) == len(deep) and set(got) == deep
