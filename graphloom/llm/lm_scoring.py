@@ -48,6 +48,8 @@ CHUNK = 500_000  # tokens
 RANGE = 2_000_000  # tokens of the corpus for each hash range of an exchange
 TURNS = 2  # of the exchange of two-word contexts: it is the largest
 HOT = RANGE // 8  # occurrences of a two-word context from which its successors are dealt one by one
+BATCH = 1 << 20  # bytes of rows that travel together
+SPREAD = 2  # buckets of chunks for each partition of the input: a task holds the answers of all chunks of its bucket
 STEPS = 1024  # of a nat
 END = "\n"  # no word holds white space
 
@@ -141,7 +143,8 @@ def _chunks(docs: DataFrame) -> DataFrame:
 class _State:
     """What a chunk knows after the answers it has: per token, counts and probabilities of each context length."""
 
-    def __init__(self, row: dict, answers: dict[int, np.ndarray], n: int, v: int):
+    def __init__(self, row: dict, answers: dict[int, np.ndarray], n: int, v: int, mine: Callable[[np.ndarray], np.ndarray] | None = None):
+        """mine: which two-word contexts are sent in this turn; the others are not even gathered."""
         self.docs = np.frombuffer(row["docs"], np.int64).reshape(2, -1)
         self.lengths = np.frombuffer(row["lengths"], np.int32)
         self.held_doc = np.frombuffer(row["held"], np.uint8).astype(bool)
@@ -151,9 +154,9 @@ class _State:
         counted = row.get("counts")
         self.counts = None if counted is None else _from_planes(counted, np.int32)  # of words, then pairs by token
         self.held = np.repeat(self.held_doc, self.lengths)
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.lengths)
-        self.n, self.v, self.answers, self.sends = n, v, answers, {}
+        self.second = np.ones(len(self.tokens), bool)  # tokens that have one before them in their text
+        self.second[np.cumsum(self.lengths) - self.lengths] = False
+        self.n, self.v, self.answers, self.sends, self.mine = n, v, answers, {}, mine
         self.least = MIN_COUNT
         self._grow()
 
@@ -184,6 +187,7 @@ class _State:
             sums = np.bincount(inverse, ~self.held[at[some]], len(triples))
             here, word = np.divmod(triples, len(self.vocab))
             steps = _steps(shorter()[some], inverse, len(triples))
+            del inverse, context, triples
             self.sends[CONTEXTS] = (distinct, (np.bincount(here, minlength=len(distinct)), self.vocab[word] >> np.uint64(16), sums, steps))
             return None
         n = np.zeros(len(at))
@@ -234,9 +238,10 @@ class _State:
         # one word: context count is the word's own, as every word is followed by something
         h = self.vocab[tokens]
         n_ctx = np.r_[0.0, self.c[:-1]]
-        at = np.flatnonzero((self.place >= 1) & (n_ctx >= self.least))
+        at = np.flatnonzero(self.second & (n_ctx >= self.least))
         pair = np.zeros(len(tokens), np.uint64)
         pair[at] = combine(h[at - 1], h[at])
+        del h
         if self.counts is not None:
             n1 = self.counts[size:].astype(np.float64)
         else:
@@ -247,23 +252,30 @@ class _State:
             n1 = np.zeros(len(tokens))
             n1[asked] = found
             self.counted = np.concatenate([words, n1]).astype(np.int32)
+            del asked, found
         novel = self._per_word(NOVEL_ONE, at, lambda: n1[at] == 1)
         if novel is None:
             return
         p1, out1 = p0.copy(), out0.copy()
         p1[at], out1[at] = _smoothed(n1[at], n_ctx[at], novel, p0[at], out0[at])
+        del novel, n_ctx
         kept = self._per_word(ONE, at, lambda: np.log(out1[at] / out0[at]))
+        del out0
+        tree1 = np.zeros(len(tokens), bool)
+        if kept is not None:
+            tree1[at] = kept > 0
+        del at
         # two words
         n_two = np.r_[0.0, n1[:-1]]
-        at2 = np.flatnonzero((self.place >= 2) & (n_two >= self.least))
+        at2 = np.flatnonzero(self.second & np.r_[False, self.second[:-1]] & (n_two >= self.least))
         hot = n_two[at2] >= HOT
         at2, many = at2[~hot], at2[hot]
+        if self.mine is not None and CONTEXTS not in self.answers:
+            at2 = at2[self.mine(pair[at2 - 1])]
         found = self._contexts(at2, pair[at2 - 1], np.flatnonzero(n1[at2] >= 1), lambda: np.log(out1[at2]))
         found_hot = self._hot_contexts(many, pair[many - 1], np.flatnonzero(n1[many] >= 1), lambda: np.log(out1[many]))
         if kept is None or found is None or found_hot is None:
             return
-        tree1 = np.zeros(len(tokens), bool)
-        tree1[at] = kept > 0
         self.p = np.where(tree1, p1, p0)
         for some, (n2, novel, tree2) in ((at2, found), (many, found_hot)):
             p2 = _smoothed(n2, n_two[some], novel, p1[some], out1[some])[0]
@@ -280,6 +292,13 @@ class _State:
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _of_turn(bits: int, turn: int, turns: int) -> Callable[[np.ndarray], np.ndarray] | None:
+    """Whether keys are in a hash range of this turn."""
+    if turns == 1 or not bits:  # the only range has the first turn
+        return None
+    return lambda keys: (keys >> np.uint64(64 - bits)) % np.uint64(turns) == turn
+
+
 def _steps(shorter: np.ndarray, inverse: np.ndarray, size: int) -> np.ndarray:
     """-log of what the shorter context predicts, in steps; up to 64 nats."""
     steps = np.zeros(size, np.uint16)
@@ -368,21 +387,27 @@ def _judged(rows: pd.DataFrame) -> pd.DataFrame:
     keys = [_from_planes(k, np.uint64) for k in rows["keys"]]
     each, words, sums, steps = zip(*(_split(x, 4) for x in rows["sums"]))
     each = np.concatenate([_unpack(x, CONTEXTS) for x in each]).astype(np.int64)
-    words, sums = [_from_planes(x, np.uint64, 6) for x in words], np.concatenate([_unpack(x, CONTEXTS) for x in sums])
+    at = np.r_[0, np.cumsum([len(x) for x in keys])]
     contexts, context = np.unique(np.concatenate(keys), return_inverse=True)
-    distinct, word = np.unique(np.concatenate(words), return_inverse=True)
-    triples, inverse = np.unique(np.repeat(context, each) * len(distinct) + word, return_inverse=True)
-    total = np.bincount(inverse, sums, len(triples))
+    del keys
+    words = [_from_planes(x, np.uint64, 6) for x in words]
+    to = np.r_[0, np.cumsum([len(x) for x in words])]
+    words = np.concatenate(words)
+    distinct, word = np.unique(words, return_inverse=True)
+    del words
+    word += np.repeat(context, each) * len(distinct)
+    triples, inverse = np.unique(word, return_inverse=True)
+    del word, each
+    total = np.bincount(inverse, np.concatenate([_unpack(x, CONTEXTS) for x in sums]), len(triples))
     shorter = np.zeros(len(triples))
     shorter[inverse] = np.concatenate([_from_planes(x, np.uint16) for x in steps]) / -float(STEPS)
     of = triples // max(1, len(distinct))
+    del triples, sums, steps
     occurs, novel = np.bincount(of, total, len(contexts)), np.bincount(of, total == 1, len(contexts))
     one = np.exp(shorter)
     out = _smoothed(total, np.maximum(occurs, 1)[of], novel[of], one, one)[1]
     kept = np.bincount(of, total * (np.log(out) - shorter), len(contexts)) >= DIVERGENCE
     back = []
-    at = np.r_[0, np.cumsum([len(x) for x in keys])]
-    to = np.r_[0, np.cumsum([len(x) for x in words])]
     for i, row in enumerate(zip(rows["chunk"], rows["part"])):
         here = context[at[i] : at[i + 1]]
         for kind, x in ((CONTEXTS, total[inverse[to[i] : to[i + 1]]]), (CONTEXT_NOVEL, novel[here]), (CONTEXT_KEPT, kept[here])):
@@ -390,6 +415,27 @@ def _judged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(back, columns=[f.split()[0] for f in ANSWER.split(", ")])
 
 
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_totals of each part; the rows of a part follow one another."""
+    schema = pa.schema(list(zip([f.split()[0] for f in ANSWER.split(", ")], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()])))
+
+    def told(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(_totals(pa.Table.from_batches(rows).to_pandas()), schema, preserve_index=False)
+
+    rows, part = [], None
+    for batch in batches:
+        parts = batch.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a and parts[a] != part:
+                if rows:
+                    yield told(rows)
+                rows, part = [], parts[a]
+            rows.append(batch.slice(a, b - a))
+    if rows:
+        yield told(rows)
+
+
 def _successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0).to_pylist():
@@ -443,9 +489,9 @@ class Tree:
             return rows
         return rows.join(self.spark.table(self.tables[1]).where(F.col("kind") == STATE).select("chunk", "counts"), "chunk")
 
-    def _states(self, work, schema: str) -> DataFrame:
+    def _states(self, work, schema: str, turn: int = 0, turns: int = 1) -> DataFrame:
         """work(row, state) -> record batches, over every chunk with its answers so far."""
-        n, v = self.n, self.v
+        n, v, mine = self.n, self.v, _of_turn(self.bits, turn, turns)
         src = self._chunks()
         if self.answers:
             every = self.answers[0]
@@ -465,12 +511,15 @@ class Tree:
                     got: dict[int, list] = defaultdict(list)
                     for g in sorted(row.pop("got") or [], key=lambda g: g["part"]):
                         got[g["kind"]].append(_unpack(g["totals"], g["kind"]))
-                    yield from work(row, _State(row, {k: np.concatenate(x) for k, x in got.items()}, n, v))
+                    yield from work(row, _State(row, {k: np.concatenate(x) for k, x in got.items()}, n, v, mine))
 
         return src.mapInArrow(run, schema)
 
-    def _answer(self, sent: DataFrame) -> DataFrame:
-        answer = self.st.write(sent.groupBy("part").applyInPandas(_totals, ANSWER), f"answers{self.made}")
+    def _answer(self, sent: DataFrame, turns: int = 1) -> DataFrame:
+        """A task for each hash range: dealt by a hash of their numbers, several of them would meet in one."""
+        task = F.expr(f"cast(part div {len(KINDS)} div {turns} as int)")
+        dealt = sent.repartitionById(max(1, (1 << self.bits) // turns), task).sortWithinPartitions("part")
+        answer = self.st.write(dealt.mapInArrow(_answers, ANSWER), f"answers{self.made}")
         self.made += 1
         return answer
 
@@ -487,7 +536,7 @@ class Tree:
             return work
 
         for turn in range(turns):  # all are asked of the same state
-            made.append(self._answer(self._states(sends(turn), SENT)))
+            made.append(self._answer(self._states(sends(turn), SENT, turn, turns), turns))
             release(self.spark)  # here, where nothing refers to the plan any more
         self.answers += made
         if self.made == 1:
@@ -550,16 +599,17 @@ class Tree:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(per_batch)
+    per_batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = None
     with Staging(spark, "lm") as st:
         made = _chunks(docs)
-        tree = Tree(spark, st, max(2, made.rdd.getNumPartitions()))
+        tree = Tree(spark, st, max(2, SPREAD * made.rdd.getNumPartitions()))
         try:
             sizes = tree.store(made).select(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.length("tokens")) / 4, F.lit(0)))
             n, size = sizes.first()
             tree.n, tree.bits = n, max(0, math.ceil(math.log2(max(1, size / RANGE))))
-            spark.conf.set(per_batch, "1")  # a chunk is a row of several MB
+            before = spark.conf.get(per_batch)
+            spark.conf.set(per_batch, str(BATCH))  # a chunk is a row of several MB: one a batch
             tree.exchange()  # words
             tree.exchange()  # pairs
             tree.exchange_and_store()  # successors seen once by one-word contexts
@@ -568,7 +618,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 tree.judge_hot()
             out = checkpoint(tree.scores().withColumn("train_tokens", F.lit(n).cast("long")))
         finally:
-            spark.conf.set(per_batch, before)
+            if before is not None:
+                spark.conf.set(per_batch, before)
             tree.close()
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, html_extraction, lm_scoring, mixing, quality, topk
 from graphloom.llm.html_pages import MARK, labelled_pages
+from graphloom.session import Staging
 
 SCHEMA = "doc_id long, text string"
 
@@ -125,6 +126,29 @@ def test_lm_least_count_is_fixed(n):
     assert (state.sends[lm_scoring.PAIRS][0] == want).all()
 
 
+def test_lm_hash_ranges_have_tasks_of_their_own(spark):
+    with Staging(spark, "ranges") as st:
+        tree = lm_scoring.Tree(spark, st, 2)
+        tree.bits = 5
+        keys = np.arange(32, dtype=np.uint64) << np.uint64(59)
+        rows = lm_scoring._parts(0, lm_scoring.WORDS, keys, np.ones(32), 5).to_pandas()
+        answer = tree._answer(spark.createDataFrame(rows, lm_scoring.SENT))
+        ranges = answer.groupBy(F.input_file_name()).agg(F.count_distinct("part").alias("n")).toPandas().n.tolist()
+        assert ranges == [1] * 32
+
+
+def test_lm_turns_gather_their_own_contexts():
+    packer = lm_scoring._Packer()
+    packer.add(1, False, " ".join(f"w{i % 50} w{i % 7}" for i in range(2000)).encode())
+    row = packer.batch(0).to_pylist()[0]
+    answers: dict = {}
+    for kind in (lm_scoring.WORDS, lm_scoring.PAIRS, lm_scoring.NOVEL_ONE):
+        answers[kind] = lm_scoring._State(row, answers, 4001, 51).sends[kind][1]
+    whole = lm_scoring._State(row, answers, 4001, 51).sends[lm_scoring.CONTEXTS][0]
+    turns = [lm_scoring._State(row, answers, 4001, 51, lm_scoring._of_turn(4, t, 2)).sends[lm_scoring.CONTEXTS][0] for t in (0, 1)]
+    assert all(len(t) < len(whole) for t in turns) and (np.sort(np.concatenate(turns)) == whole).all()
+
+
 def test_lm_gains_on_held_out_texts(spark):
     got = lm_scoring.op9_lm_scoring(spark, "/root/testdata/sf0.01").toPandas()
     for held, least in ((True, 0.03), (False, 0.1)):
