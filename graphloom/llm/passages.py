@@ -16,18 +16,16 @@ a removed line are left out first, so what stays of a class is never removed.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import membership
 from graphloom.llm import text as texts_of
+from graphloom.llm.text import mix as _mix
 from graphloom.session import checkpoint, release
 
 GRAM, WINDOW = 16, 6  # GRAM is a power of 2
@@ -37,19 +35,20 @@ FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 HIT = "row long, doc_id long, print long, key long, mark long, pos int, start int, `end` int, paragraph int"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _rolled(h: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """A hash of each GRAM words in a row, from sums of all words before: none of the words is mixed twice."""
+    power = np.cumprod(np.full(len(h), factor))
+    sums = np.cumsum(np.r_[np.uint64(0), h * power])
+    back = np.cumprod(np.full(len(h) - GRAM + 1, np.uint64(pow(int(factor), -1, 1 << 64))))
+    return _mix((sums[GRAM:] - sums[:-GRAM]) * back)
 
 
-def _rolled(h: np.ndarray, factor: np.uint64) -> np.ndarray:
-    """A hash of each GRAM words in a row, from those of half as many."""
-    width = 1
-    while width < GRAM:
-        h = h[:-width] * factor + _mix(h[width:])
-        width *= 2
-    return _mix(h)
+def _marks(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Another hash of the runs at these places."""
+    mark = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        mark = _mix(mark * FACTORS[1] + h[at + k])
+    return mark
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -61,23 +60,35 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def chosen(g: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least of some WINDOW in a row (of all, where there are fewer), ascending."""
-    if len(g) <= WINDOW:
-        return np.flatnonzero(g == g.min())
+def chosen(g: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Places whose hash is the least of some WINDOW in a row (of all, where there are fewer) of their text, ascending.
+
+    sizes: how many of the hashes are of each text, none of them 0; all are of one without it.
+    """
+    sizes = np.array([len(g)]) if sizes is None else sizes
+    ends = np.cumsum(sizes)
+    first = ends - sizes
+    few = np.repeat(sizes < WINDOW, sizes)
+    whole = few & (g == np.repeat(np.minimum.reduceat(g, first), sizes))
+    if len(g) < WINDOW:
+        return np.flatnonzero(whole)
     least = _slide(g, WINDOW, np.minimum)
+    left = np.repeat(ends, sizes) - np.arange(len(g))
+    least[left[: len(least)] < WINDOW] = 0  # of two texts
     edge = np.zeros(WINDOW - 1, g.dtype)
-    return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == g)
+    return np.flatnonzero(whole | ~few & (_slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == g))
 
 
-def _spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end in code points, line number) of each word."""
-    b = np.frombuffer(data, np.uint8)
-    space = np.r_[True, (b == 32) | ((b >= 9) & (b <= 13)), True]
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    points = np.r_[0, np.cumsum((b & 0xC0) != 0x80)]
-    lines = np.r_[0, np.cumsum(b == 10)]
-    return points[edge[::2]], points[edge[1::2]], lines[edge[::2]]
+def runs(words: texts_of.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, first words) of the chosen runs of each text."""
+    n = np.diff(words.word)
+    sizes = np.maximum(n - GRAM + 1, 0)
+    if not sizes.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    some = np.flatnonzero(np.arange(n.sum()) < np.repeat(words.word[:-1] + sizes, n))
+    g = _rolled(words.hash, FACTORS[0])[some]
+    at = chosen(g, sizes[sizes > 0])
+    return g[at], some[at]
 
 
 def _runs(docs: DataFrame, bitmap: bytes | None) -> DataFrame:
@@ -95,34 +106,27 @@ def _runs(docs: DataFrame, bitmap: bytes | None) -> DataFrame:
         held = None if shipped is None else np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             for rows, values in texts_of.slices(batch, "text"):
-                number, split = defaultdict(count().__next__), [data.lower().split() for data in values]
-                numbers = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in split]
-                known = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-                found: list[list] = []
-                for i, n in enumerate(numbers):
-                    if len(n) < GRAM:
-                        continue
-                    h = known[n]
-                    g = _rolled(h, FACTORS[0])
-                    at = chosen(g)
-                    if held is None:
-                        found.append([np.unique(g[at])])
-                        continue
-                    bit = (g[at] & np.uint64(8 * len(held) - 1)).astype(np.int64)
-                    at = at[(held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-                    if len(at):
-                        start, end, line = _spans(values[i])
-                        found.append([np.full(len(at), i), g[at], _rolled(h, FACTORS[1])[at], at, start[at], end[at + GRAM - 1], line[at]])
-                if not found:
-                    continue
-                flat = [np.concatenate(x) for x in zip(*found)]
+                words = texts_of.Words(values)
+                g, at = runs(words)
                 if held is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64))], names=["key"])
+                    edges = np.flatnonzero(np.diff(words.of[at])) + 1
+                    keys = [np.unique(x) for x in np.split(g, edges)]  # those of a text once
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
+                    continue
+                bit = (g & np.uint64(8 * len(held) - 1)).astype(np.int64)
+                hit = (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                g, at = g[hit], at[hit]
+                if not len(at):
                     continue
-                of = pa.array(flat[0])
+                text = words.of[at]
+                first, to = words.first[text], at + GRAM - 1
+                points, lines = words.points(), np.cumsum(np.r_[False, words.bytes == 10], dtype=np.int32)
+                start, end = words.start[at], words.end[to]
+                small = [at - words.word[text], points[start] - points[first], points[end] - points[first], lines[start] - lines[first]]
+                of = pa.array(text)
                 head = [rows.column(k).take(of) for k in (2, 0, 3)]
-                wide = [pa.array(x.view(np.int64)) for x in flat[1:3]]
-                yield pa.RecordBatch.from_arrays([*head, *wide, *[pa.array(x.astype(np.int32)) for x in flat[3:]]], names=names)
+                wide = [pa.array(x.view(np.int64)) for x in (g, _marks(words.hash, at))]
+                yield pa.RecordBatch.from_arrays([*head, *wide, *[pa.array(x.astype(np.int32)) for x in small]], names=names)
 
     return src.mapInArrow(run, "key long" if bitmap is None else HIT)
 

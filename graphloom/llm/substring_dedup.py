@@ -20,9 +20,7 @@ differently, outside of the removals above. `remove_repeats` removes whole parag
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -33,6 +31,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import membership, passages
 from graphloom.llm import text as texts_of
+from graphloom.llm.text import mix as _mix
 from graphloom.operators.stars import star_components
 from graphloom.session import Staging, checkpoint, release
 
@@ -48,48 +47,52 @@ SHIFT = _DRAWN.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Paragraphs:
     """Paragraphs of some texts with their shingle hashes in one array."""
 
-    def __init__(self, min_words: int, width: int):
-        self.min_words, self.width = min_words, width
-        self.number = defaultdict(count().__next__)
-        self.doc, self.para, self.start, self.end, self.size, self.pid, self.words = [], [], [], [], [], [], []
-
-    def add(self, doc: int, data: bytes) -> None:
-        at = 0
-        for i, line in enumerate(data.decode("utf-8", "replace").split("\n")):
-            words = line.encode().lower().split()
-            if len(words) >= self.min_words:
-                self.doc.append(doc)
-                self.para.append(i)
-                self.start.append(at)
-                self.end.append(at + len(line))
-                self.size.append(len(words))
-                self.pid.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                self.words.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
-            at += len(line) + 1
+    def __init__(self, values: list[bytes], min_words: int, width: int):
+        words = texts_of.Words(values)
+        breaks = np.flatnonzero(words.bytes == 10)  # a line break ends each line, also the last of a text
+        n = np.diff(np.searchsorted(words.start, breaks), prepend=0)
+        long = n >= max(1, min_words)
+        some = np.flatnonzero(long)
+        starts = np.r_[0, breaks + 1]
+        self.doc = np.searchsorted(words.first, starts[some], "right") - 1
+        self.para = some - np.searchsorted(breaks, words.first[self.doc])
+        points = words.points()
+        base = points[words.first[self.doc]]
+        self.start, self.end = points[starts[some]] - base, points[breaks[some]] - base
+        self.size, self.width = n[some], width
+        mine = np.repeat(long, n)
+        self.pid = self._pids(words.low, words.start[mine], words.end[mine])
+        self.hash = words.hash[mine]
+
+    def _pids(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """128-bit hashes of the words of each paragraph, one space between two."""
+        inside = np.zeros(len(low) + 1, np.int8)
+        inside[start], inside[end] = 1, -1
+        keep = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        keep[end] = True  # a byte of white space after each word
+        plain = low.copy()
+        plain[end] = 32
+        text = memoryview(plain[keep].tobytes())
+        at = np.cumsum(end - start + 1)
+        ends = at[np.cumsum(self.size) - 1].tolist() if len(self.size) else []
+        return [xxhash.xxh3_128_digest(text[a : b - 1]) for a, b in zip([0, *ends], ends)]
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all shingles, first place of each paragraph)."""
-        known = np.fromiter(map(xxhash.xxh64_intdigest, self.number), np.uint64, len(self.number))
-        size = np.array(self.size, np.int64)
+        size, h = self.size, self.hash
         if not len(size):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = known[np.concatenate(self.words)]
         n = np.maximum(size - self.width + 1, 1)
         first = np.cumsum(n) - n
-        at = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(np.cumsum(size) - size, n)
-        left = np.repeat(np.minimum(size, self.width), n)
+        at = np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - first, n)
         out = np.zeros(len(at), np.uint64)
+        short = size.min() < self.width
+        left = np.repeat(np.minimum(size, self.width), n) if short else None
         for k in range(self.width):
-            out = out * POWER + np.where(left > k, h[np.minimum(at + k, len(h) - 1)], np.uint64(0))
+            out = out * POWER + (np.where(left > k, h[np.minimum(at + k, len(h) - 1)], np.uint64(0)) if short else h[at + k])
         return _mix(out), first
 
 
@@ -119,9 +122,7 @@ def _paragraphs(docs: DataFrame, min_words: int, width: int, sets: bool) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, values in texts_of.slices(batch, "text"):
-                found = Paragraphs(min_words, width)
-                for i, data in enumerate(values):
-                    found.add(i, data)
+                found = Paragraphs(values, min_words, width)
                 hashes, first = found.shingles()
                 pid = pa.array(found.pid, type=pa.binary())
                 if sets:
@@ -131,8 +132,8 @@ def _paragraphs(docs: DataFrame, min_words: int, width: int, sets: bool) -> Data
                     continue
                 keys = bands(hashes, first).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-                place = [pa.array(x, type=pa.int32()) for x in (found.para, found.start, found.end, found.size)]
-                of = pa.array(found.doc, type=pa.int64())
+                place = [pa.array(x.astype(np.int32)) for x in (found.para, found.start, found.end, found.size)]
+                of = pa.array(found.doc)
                 head = [rows.column(0).take(of), rows.column(1).take(of)]
                 yield pa.RecordBatch.from_arrays([*head, *place, pid, lists], names=["doc_id", "row", "paragraph", "start", "end", "n_words", "pid", "bands"])
 

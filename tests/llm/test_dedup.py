@@ -274,3 +274,34 @@ def test_runs_of_21_words_share_a_choice(seed):
         g = W._rolled(h, W.FACTORS[0])
         keys.append(set(g[W.chosen(g)].tolist()))
     assert set.intersection(*keys)
+
+
+def test_words_as_arrays():
+    from graphloom.llm.text import Words
+
+    texts = ["", "Ab aB\tab\n\nÉ É é", "\n \x0b ", f"{'y' * 999} {'Y' * 999} {'y' * 998}z", "abcdefgh abcdefghi abcdefghI abcdefg", "x" * 256 + " " + "x" * 257, "a\x00 a"]
+    words = Words([t.encode() for t in texts])
+    of = {}
+    points = words.points()
+    for i, t in enumerate(texts):
+        a, b = words.word[i], words.word[i + 1]
+        assert [words.low[x:y].tobytes() for x, y in zip(words.start[a:b], words.end[a:b])] == t.encode().lower().split()
+        base = points[words.first[i]]
+        assert [t[points[x] - base : points[y] - base] for x, y in zip(words.start[a:b], words.end[a:b])] == [w.decode() for w in t.encode().split()]
+        for w, h in zip(t.encode().lower().split(), words.hash[a:b].tolist()):
+            assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+    assert len(Words([]).hash) == len(Words([b""]).hash) == 0
+
+
+def test_runs_are_chosen_in_each_text_as_alone():
+    from graphloom.llm import passages as W
+    from graphloom.llm.text import Words
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)).encode() for n in (0, 15, 16, 18, 21, 22, 40, 0, 200, 17)]
+    keys, at = W.runs(words := Words(texts))
+    for i, t in enumerate(texts):
+        alone_keys, alone = W.runs(Words([t]))
+        mine = words.of[at] == i
+        assert (at[mine] - words.word[i] == alone).all() and (keys[mine] == alone_keys).all() and bool(len(alone)) == (len(t.split()) >= W.GRAM)
