@@ -252,3 +252,61 @@ def test_betweenness_by_components(spark):
         assert near(as_dict(betweenness.betweenness(g, roots, local_edges=local, component_edges=component)), want)
         got = [tuple(r) for r in betweenness.levels(g, roots, local_edges=local, component_edges=component).collect()]
         assert len(got) == len(deep) and set(got) == deep
+
+
+def _slow_dependencies(n, src, dst, roots, times):
+    """Brandes root by root."""
+    total = np.zeros(n)
+    for root, many in zip(roots, times):
+        depth, paths, front = np.full(n, -1), np.zeros(n), [root]
+        depth[root], paths[root], order = 0, 1, [root]
+        while front:
+            here, front = front, []
+            for v in here:
+                for w in dst[src == v]:
+                    if depth[w] < 0:
+                        depth[w] = depth[v] + 1
+                        front.append(w)
+                    if depth[w] == depth[v] + 1:
+                        paths[w] += paths[v]
+            order += front
+        delta = np.zeros(n)
+        for v in order[::-1]:
+            for w in dst[src == v]:
+                if depth[w] == depth[v] + 1:
+                    delta[v] += paths[v] / paths[w] * (1 + delta[w])
+        delta[root] = 0
+        total += many * delta
+    return total
+
+
+def test_dependencies_fold_trees_and_search_the_rest_in_lanes(monkeypatch):
+    """Any edges (directed, repeated, loops, long paths): the same as root by root, in one part or three."""
+    from graphloom.operators import small
+
+    rng = np.random.default_rng(3)
+    graphs = [(n, *rng.integers(0, n, (2, m))) for n, m in ((1, 0), (9, 12), (30, 25), (40, 60), (50, 45))]
+    graphs += [(n, np.r_[s, d], np.r_[d, s]) for n, s, d in graphs]
+    ring = np.arange(2 * small.UNREACHED + 10)
+    graphs.append((len(ring), np.r_[ring, np.roll(ring, -1)], np.r_[np.roll(ring, -1), ring]))
+    for n, s, d in graphs:
+        roots = rng.choice(n, min(n, 12), replace=False)
+        times = rng.integers(1, 4, len(roots)).astype(float)
+        want = _slow_dependencies(n, s, d, roots, times)
+        for cells in (1 << 20, 40):
+            monkeypatch.setattr(small, "CELLS", cells)
+            got = [small.dependencies(np.arange(n), s, d, roots, times, i, 3) for i in range(3)]
+            assert np.allclose(sum(got), want) and np.allclose(small.dependencies(np.arange(n), s, d, roots, times), want)
+
+
+def test_dependencies_search_no_trees(monkeypatch):
+    from graphloom.operators import small
+
+    searched = []
+    monkeypatch.setattr(small.Paths, "search", lambda self, roots: searched.append(len(roots)))
+    n = 600
+    up = np.random.default_rng(4).integers(0, np.arange(1, n))
+    src, dst = np.r_[up, np.arange(1, n)], np.r_[np.arange(1, n), up]
+    got = small.dependencies(np.arange(n), src, dst, np.arange(n), np.ones(n))
+    monkeypatch.undo()
+    assert not searched and np.allclose(got[:5], _slow_dependencies(n, src, dst, np.arange(n), np.ones(n))[:5])
