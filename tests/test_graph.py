@@ -310,3 +310,29 @@ def test_dependencies_search_no_trees(monkeypatch):
     got = small.dependencies(np.arange(n), src, dst, np.arange(n), np.ones(n))
     monkeypatch.undo()
     assert not searched and np.allclose(got[:5], _slow_dependencies(n, src, dst, np.arange(n), np.ones(n))[:5])
+
+
+def test_components_by_one_task_where_pairs_are_few(spark, monkeypatch):
+    """A graph with more edges than one task takes, but not more pairs of ends, needs no rounds of joins."""
+    rng = np.random.default_rng(6)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2)) if a != b} | {(3, 3)})
+    g = graph(spark, pairs, vertices=range(92))
+    want = as_dict(components.connected_components(g, "baseline"))
+    monkeypatch.setattr(components.kernels, "is_small", lambda edges, bound=0: False)
+    found, rounds = components.components_and_rounds(g)
+    assert rounds == 0 and as_dict(found) == want
+    monkeypatch.setattr(components.kernels, "LOCAL_EDGES", 5)
+    found, rounds = components.components_and_rounds(g)
+    assert rounds > 0 and as_dict(found) == want
+
+
+def test_levels_search_components_side_by_side(spark, monkeypatch):
+    """Many small components with a root each are one search, not one for each 64 roots."""
+    from graphloom.operators import small
+
+    searched, search = [], small.Lanes.search
+    monkeypatch.setattr(small.Lanes, "search", lambda self, depths: searched.append(self.n) or search(self, depths))
+    base = 3 * np.arange(300)
+    src, dst = np.r_[base, base + 1], np.r_[base + 1, base + 2]
+    got = [r for b in small._levels(np.r_[src, dst], np.r_[dst, src], base, np.ones(300)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert searched == [900] and sorted(got) == [(b, b + d, d, 1.0) for b in base.tolist() for d in range(3)]
