@@ -1,7 +1,7 @@
 """Betweenness centrality by Brandes' accumulation from many roots at once.
 
 A graph counted to be small is broadcast, and tasks take groups of roots (operators.small). Beyond, paths never leave a
-component, so components are dealt to tasks, with slices of their roots: state stays in the tasks. Only components that
+component, so components are dealt to tasks, in parts of their roots: state stays in the tasks. Only components that
 are too large for a task go by joins, with state keyed by (root, id); roots go in blocks whose state, a row per vertex and
 root at most, stays at about STATE rows. Scores are not
 normalised and not halved; sampled roots are not rescaled unless asked.
